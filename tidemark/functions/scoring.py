@@ -83,8 +83,9 @@ def clamp_min(x, low: float = 0.0) -> Column:
 
 
 def round_display(x, digits: int) -> Column:
-    """Half-even rounding, as display tables use."""
-    return F.bround(_c(x), digits)
+    """Half-even rounding on the binary value, as array libraries do it for display tables."""
+    scale = F.lit(float(10 ** digits))
+    return F.rint(_c(x) * scale) / scale
 
 
 def format_number(x, digits: int) -> Column:

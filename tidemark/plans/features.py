@@ -8,13 +8,21 @@ from pyspark.sql import functions as F
 from tidemark.functions.calendar import add_hours, calendar_columns, cyclical, wind_sin_cos
 from tidemark.operators.guards import assert_regular
 from tidemark.operators.joins import join_sources
-from tidemark.operators.project import drop_null_any, drop_null_essential, select_contract
+from tidemark.operators.project import drop_null_essential, known_rows, select_contract
 from tidemark.operators.rolling import history_levels
 from tidemark.operators.series import HOURLY, Series, over_series
 from tidemark.schemas import (
     BASELINE_HORIZONS, CALENDAR, CYCLE_COLUMNS, CYCLE_SOURCES, ESSENTIAL, FEATURE_COLUMNS,
-    FUTURE_WEATHER, KEY, MAX_HORIZON, SHORT_FEATURES, TARGET_COLUMNS, TIME, WIND_DIRECTION,
-    target_name,
+    FUTURE_WEATHER, KEY, LONG_LAG, MAX_HORIZON, POLLUTANTS, PREFIX, SHORT_FEATURES,
+    TARGET_COLUMNS, TIME, WEATHER, WIND_DIRECTION, lag_name, mean_name, target_name,
+)
+
+# A feature row has no NULL exactly when these columns have none: a known 72-step mean means that
+# every value of its window is known, and with it all shorter means, lags, changes and spreads.
+COMPLETE_WHEN = (
+    [c for c in POLLUTANTS + WEATHER if c not in PREFIX]
+    + [mean_name(m, 72) for m in PREFIX] + [lag_name(m, 72) for m in PREFIX]
+    + [lag_name("us_aqi", LONG_LAG)]
 )
 
 # gap policy -> what "k steps back" means
@@ -48,8 +56,8 @@ def engineer_features(air: DataFrame, weather: DataFrame, gap_policy: str = "err
 
 
 def feature_table(merged: DataFrame, series: Series = HOURLY) -> DataFrame:
-    out = history_features(merged, series)
-    return select_contract(drop_null_any(out), [KEY, *FEATURE_COLUMNS])
+    out = known_rows(history_features(merged, series), COMPLETE_WHEN)
+    return select_contract(out, [KEY, *FEATURE_COLUMNS])
 
 
 def wide_targets(df: DataFrame, horizons: int = MAX_HORIZON, series: Series = HOURLY,
@@ -60,7 +68,7 @@ def wide_targets(df: DataFrame, horizons: int = MAX_HORIZON, series: Series = HO
     out = over_series(narrow, series, 0, horizons, [
         lambda at: {target_name(h): at(measure, -h) for h in hs}
     ])
-    return out.drop(measure).dropna(subset=[target_name(h) for h in hs])
+    return known_rows(out.drop(measure), [target_name(h) for h in hs])
 
 
 def label_check(labels: DataFrame, values: DataFrame, horizon: int, series: Series = HOURLY,
@@ -105,7 +113,9 @@ def experimental_features_72h(air: DataFrame, weather: DataFrame, order: str | N
         **cyclical(cal["_m"], 12, "target_month", origin=1, suffix=suffix),
         f"target_is_weekend{suffix}": cal["_w"],
     }).drop("_future_direction")
-    return drop_null_any(out)
+    needed = [*COMPLETE_WHEN, f"future_wind_direction_sin{suffix}",
+              *[f"{c}{suffix}" for c in FUTURE_WEATHER], *[target_name(h) for h in BASELINE_HORIZONS]]
+    return known_rows(out, needed)
 
 
 def cycle_columns() -> dict[str, Column]:

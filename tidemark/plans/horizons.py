@@ -9,11 +9,11 @@ from tidemark.functions.calendar import calendar_columns, target_calendar, wind_
 from tidemark.operators.errors import DataContractError
 from tidemark.operators.joins import attach_future_weather, expand_horizons
 from tidemark.operators.keyed import latest_row
-from tidemark.operators.project import drop_null_model, select_contract
+from tidemark.operators.project import drop_null_model, known_rows, select_contract
 from tidemark.operators.series import HOURLY, Series, over_series
 from tidemark.plans.features import _future_level
 from tidemark.schemas import (
-    FEATURE_COLUMNS, FUTURE_WEATHER, HORIZON_EXTRAS, KEY, MODEL_BASE_COLUMNS, MODEL_COLUMNS,
+    FEATURE_COLUMNS, FUTURE_WEATHER, FUTURE_WIND, HORIZON_EXTRAS, KEY, MODEL_BASE_COLUMNS, MODEL_COLUMNS,
     TARGET_CALENDAR, TIME, WEATHER, WIND_DIRECTION, target_name,
 )
 
@@ -38,7 +38,8 @@ def horizon_dataset(df: DataFrame, horizon: int, series: Series = HOURLY,
         **target_calendar(series.time, horizon),
     })
     out = out.select(*series.keys, series.time, *base, *HORIZON_EXTRAS, label)
-    return drop_null_model(out, [*base, *HORIZON_EXTRAS], label)
+    needed = [c for c in HORIZON_EXTRAS if c not in (FUTURE_WIND[1], *TARGET_CALENDAR)]
+    return drop_null_model(out, [*base, *needed], label)
 
 
 def horizon_long(df: DataFrame, horizons: list[int], series: Series = HOURLY,
@@ -66,8 +67,8 @@ def horizon_long(df: DataFrame, horizons: list[int], series: Series = HOURLY,
         **wind_sin_cos("_direction", "future_wind_direction"),
         **target_calendar(series.time, F.col("horizon")),
     })
-    return out.select(*series.keys, series.time, "horizon", *keep, *HORIZON_EXTRAS, "target").dropna(
-        subset=[*keep, *HORIZON_EXTRAS, "target"])
+    out = out.select(*series.keys, series.time, "horizon", *keep, *HORIZON_EXTRAS, "target")
+    return known_rows(out, [*keep, *FUTURE_WEATHER, FUTURE_WIND[0], "target"])
 
 
 def live_inputs(features: DataFrame, weather: DataFrame, horizons: int = 72,

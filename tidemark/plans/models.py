@@ -17,7 +17,7 @@ from tidemark.functions.scoring import category, clamp_min
 from tidemark.operators.aggregates import regression_metrics, split_counts
 from tidemark.operators.errors import DataContractError
 from tidemark.operators.guards import same_order
-from tidemark.operators.project import top_k, unpivot_targets
+from tidemark.operators.project import known_rows, top_k, unpivot_targets
 from tidemark.operators.series import HOURLY, Series
 from tidemark.operators.splits import PART, split_nested
 from tidemark.operators.sets import union_all
@@ -173,7 +173,8 @@ def ridge_grid(df: DataFrame, label: str, alphas: Iterable[float] = ALPHAS,
     """
     sets = feature_sets or FEATURE_SETS
     columns = list(dict.fromkeys(c for cs in sets.values() for c in cs))
-    parts = split_nested(with_cycles(df).select(KEY, TIME, *columns, label).dropna(), series=series)
+    parts = split_nested(known_rows(with_cycles(df), [*columns, label]).select(KEY, TIME, *columns, label),
+                         series=series)
     known = moments(parts.where(F.col(PART) == "train"), [*columns, label])
     fits = {(s, a): ridge_from_moments(known, cs, label, a) for s, cs in sets.items() for a in alphas}
     scored = parts.where(F.col(PART) == "validation").select(label, F.inline(F.array(*[
