@@ -58,7 +58,7 @@ def _(spark, d):
 
 _H_EXTRA = [*future_weather_sql(24), f"{lead_sql('wind_direction_10m', 24)} AS dir", f"{lead_sql('us_aqi', 24)} AS aqi_target_24h",
             *calendar_sql("(time + INTERVAL 24 HOUR)", TARGET_CALENDAR, "INTEGER")]
-_WIND = ("round(sin(radians(dir)), 9) AS future_wind_direction_sin, round(cos(radians(dir)), 9) AS future_wind_direction_cos")
+_WIND = ("round(sin(radians(dir)), 9) + 0.0 AS future_wind_direction_sin, round(cos(radians(dir)), 9) + 0.0 AS future_wind_direction_cos")
 
 
 @query("k2_horizon_dataset", with_frames(
@@ -112,7 +112,7 @@ def _(spark, d):
 @query("k4_live_inputs", with_frames(
     "pair", "SELECT l.series_id, l.time, l.time + to_hours(h) AS forecast_time, CAST(h AS INTEGER) AS horizon_hours, l.us_aqi, l.aqi_lag_168h, l.pm10_mean_72h, "
     + ", ".join(f"w.{s} AS {n}" for n, s in FUTURE_WEATHER.items())
-    + ", round(sin(radians(w.wind_direction_10m)), 9) AS future_wind_direction_sin, "
+    + ", round(sin(radians(w.wind_direction_10m)), 9) + 0.0 AS future_wind_direction_sin, "
     + ", ".join(calendar_sql("(l.time + to_hours(h))", TARGET_CALENDAR, "INTEGER"))
     + " FROM (SELECT * FROM k1 ORDER BY time DESC LIMIT 1) l, (SELECT unnest(range(1, 73)) AS h), weather w "
     "WHERE w.time + INTERVAL 96 HOUR = l.time + to_hours(h)", k1=k1_sql("pair")))
@@ -127,13 +127,13 @@ def _(spark, d):
 
 
 def _cyc(x, p, name):
-    return [f"round(sin(2 * pi() * ({x}) / {p}), 9) AS {name}_sin_72h", f"round(cos(2 * pi() * ({x}) / {p}), 9) AS {name}_cos_72h"]
+    return [f"round(sin(2 * pi() * ({x}) / {p}), 9) + 0.0 AS {name}_sin_72h", f"round(cos(2 * pi() * ({x}) / {p}), 9) + 0.0 AS {name}_cos_72h"]
 
 
 _T72 = "(time + INTERVAL 72 HOUR)"
 _K5 = [f"{c} AS {n}_72h" for n, c in zip(FUTURE_WEATHER, [e.rsplit(" AS ", 1)[0] for e in future_weather_sql(72)])] + [
-    f"round(sin(radians({lead_sql('wind_direction_10m', 72)})), 9) AS future_wind_direction_sin_72h",
-    f"round(cos(radians({lead_sql('wind_direction_10m', 72)})), 9) AS future_wind_direction_cos_72h",
+    f"round(sin(radians({lead_sql('wind_direction_10m', 72)})), 9) + 0.0 AS future_wind_direction_sin_72h",
+    f"round(cos(radians({lead_sql('wind_direction_10m', 72)})), 9) + 0.0 AS future_wind_direction_cos_72h",
     *_cyc(f"hour({_T72})", 24, "target_hour"), *_cyc(f"isodow({_T72}) - 1", 7, "target_day"),
     *_cyc(f"month({_T72}) - 1", 12, "target_month"),
     f"CASE WHEN isodow({_T72}) >= 6 THEN 1 ELSE 0 END AS target_is_weekend_72h",
@@ -157,9 +157,9 @@ def _(spark, d):
 
 @query("k6_cyclical_features", with_frames(
     "pair", "SELECT series_id, time, us_aqi, "
-    + ", ".join(f"round({fn}(2 * pi() * {x} / {p}), 9) AS {n}_{fn}" for n, x, p in
+    + ", ".join(f"round({fn}(2 * pi() * {x} / {p}), 9) + 0.0 AS {n}_{fn}" for n, x, p in
                 (("hour", "hour(time)", 24), ("day_of_week", "(isodow(time) - 1)", 7), ("month", "(month(time) - 1)", 12)) for fn in ("sin", "cos"))
-    + ", round(sin(radians(wind_direction_10m)), 9) AS wind_direction_sin, round(cos(radians(wind_direction_10m)), 9) AS wind_direction_cos FROM pair"))
+    + ", round(sin(radians(wind_direction_10m)), 9) + 0.0 AS wind_direction_sin, round(cos(radians(wind_direction_10m)), 9) + 0.0 AS wind_direction_cos FROM pair"))
 def _(spark, d):
     from tidemark.functions.calendar import calendar_columns
     df = f.clean_sources(air(spark, d), weather(spark, d)).withColumns(calendar_columns(TIME))
@@ -174,8 +174,8 @@ def _(spark, d):
 @query("p_planned_extras", with_frames(
     "pair", "SELECT series_id, time, pm2_5 - lag(pm2_5, 1) OVER w AS pm2_5_change_1h, pm2_5 - lag(pm2_5, 24) OVER w AS pm2_5_change_24h, "
     "pm10 - lag(pm10, 1) OVER w AS pm10_change_1h, pm10 - lag(pm10, 24) OVER w AS pm10_change_24h, "
-    "CASE WHEN precipitation > 0 THEN 1 ELSE 0 END AS is_raining, round(wind_speed_10m * cos(radians(wind_direction_10m)), 9) AS wind_x, "
-    "round(wind_speed_10m * sin(radians(wind_direction_10m)), 9) AS wind_y, CAST(floor((month(time) % 12) / 3) AS INTEGER) AS season, "
+    "CASE WHEN precipitation > 0 THEN 1 ELSE 0 END AS is_raining, round(wind_speed_10m * cos(radians(wind_direction_10m)), 9) + 0.0 AS wind_x, "
+    "round(wind_speed_10m * sin(radians(wind_direction_10m)), 9) + 0.0 AS wind_y, CAST(floor((month(time) % 12) / 3) AS INTEGER) AS season, "
     "relative_humidity_2m * pm2_5 AS humidity_pm2_5 FROM pair WINDOW w AS (PARTITION BY series_id ORDER BY time)"))
 def _(spark, d):
     out = f.planned_extras(f.clean_sources(air(spark, d), weather(spark, d)), ROWS)

@@ -63,7 +63,7 @@ _FIT = ("SELECT *, n * sy * (r1 * (n + 1) - n * r12 * r2) / ((n + 1) * (n + 1) -
     l=_L, g=_LONG, mom=_MOM, fit=_FIT))
 def _(spark, d):
     """All five horizons from one set of moments and one scoring scan."""
-    df = labelled(spark, d)
+    df = stored(labelled(spark, d))
     models = m.ridge_by_horizon(df, ["us_aqi", "pm10"], BASELINE_HORIZONS, alpha=1.0)
     return show(m.linear_metrics(df, models, "Ridge Regression"))
 
@@ -73,7 +73,7 @@ def _(spark, d):
     "WHERE part = 'test' AND g.horizon = 24"), l=_L, g=_LONG, mom=_MOM, fit=_FIT))
 def _(spark, d):
     """The same fit by Spark ML's normal-equation solver."""
-    df = labelled(spark, d)
+    df = stored(labelled(spark, d))
     inputs = ["us_aqi", "pm10"]
     model = m.ridge(df.where("part = 'train'"), inputs, "aqi_target_24h", 1.0)
     scored = model.transform(m.assemble(df.where("part = 'test'"), inputs)).withColumn("horizon", F.lit(24))
@@ -82,11 +82,15 @@ def _(spark, d):
 
 def feature_rows(spark, d):
     """The stored feature table with its labels, as the training jobs read it."""
-    k1 = f.feature_table(f.clean_sources(air(spark, d), weather(spark, d)), ROWS)
-    labels = f.wide_targets(k1, 72, ROWS)
-    path = scratch_path(spark, "training")
-    k1.join(labels, [KEY, TIME]).write.parquet(path)
-    return spark.read.parquet(path)
+    k1 = stored(f.feature_table(f.clean_sources(air(spark, d), weather(spark, d)), ROWS))
+    return stored(k1.join(f.wide_targets(k1, 72, ROWS), [KEY, TIME]))
+
+
+def stored(df):
+    """Written once to the shared folder and read back, as the jobs do between steps."""
+    path = scratch_path(df.sparkSession, "training")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @query("m3_ridge_by_horizon")

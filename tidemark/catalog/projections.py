@@ -149,17 +149,17 @@ def _(spark, d):
 
 
 @query("h7_wind_sin_cos", with_frames(
-    "weather", "SELECT time, round(sin(radians(wind_direction_10m)), 9) AS wind_direction_sin, "
-    "round(cos(radians(wind_direction_10m)), 9) AS wind_direction_cos FROM weather"))
+    "weather", "SELECT time, round(sin(radians(wind_direction_10m)), 9) + 0.0 AS wind_direction_sin, "
+    "round(cos(radians(wind_direction_10m)), 9) + 0.0 AS wind_direction_cos FROM weather"))
 def _(spark, d):
     return weather(spark, d).select(TIME, *[
         F.round(c, 9).alias(n) for n, c in cal.wind_sin_cos("wind_direction_10m").items()])
 
 
-@query("h8_cyclical", "SELECT event_id, round(sin(2 * pi() * hour(ts) / 24), 9) AS hour_sin, "
-       "round(cos(2 * pi() * hour(ts) / 24), 9) AS hour_cos, "
-       "round(sin(2 * pi() * (month(ts) - 1) / 12), 9) AS month_sin, "
-       "round(cos(2 * pi() * (month(ts) - 1) / 12), 9) AS month_cos FROM events")
+@query("h8_cyclical", "SELECT event_id, round(sin(2 * pi() * hour(ts) / 24), 9) + 0.0 AS hour_sin, "
+       "round(cos(2 * pi() * hour(ts) / 24), 9) + 0.0 AS hour_cos, "
+       "round(sin(2 * pi() * (month(ts) - 1) / 12), 9) + 0.0 AS month_sin, "
+       "round(cos(2 * pi() * (month(ts) - 1) / 12), 9) + 0.0 AS month_cos FROM events")
 def _(spark, d):
     cols = {**cal.cyclical(F.hour("ts"), 24, "hour"), **cal.cyclical(F.month("ts"), 12, "month", origin=1)}
     return table(spark, d, "events").select("event_id", *[F.round(c, 9).alias(n) for n, c in cols.items()])

@@ -89,7 +89,21 @@ def round_display(x, digits: int) -> Column:
 
 
 def format_number(x, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", _c(x))
+    """Fixed decimals; the exact binary value decides, and exact ties go to the even digit.
+
+    ``x * 10^digits`` is itself rounded, so where it looks like a tie the rounding error of the
+    product (exact, from the two halves of ``x``) tells on which side the true value lies.
+    """
+    c = _c(x).cast("double")
+    scale = F.lit(float(10 ** digits))
+    product = c * scale
+    high = c.cast("float").cast("double")
+    error = (high * scale - product) + (c - high) * scale
+    tie = F.abs(product - F.floor(product) - 0.5) == 0
+    whole = (F.when(tie & (error > 0), F.ceil(product).cast("double"))
+             .when(tie & (error < 0), F.floor(product).cast("double"))
+             .otherwise(F.rint(product)))
+    return F.format_string(f"%.{digits}f", whole / scale)
 
 
 def abs_error(y, yhat) -> Column:

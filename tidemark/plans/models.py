@@ -24,6 +24,7 @@ from tidemark.operators.sets import union_all
 from tidemark.plans.features import FEATURE_SETS, with_cycles
 from tidemark.plans.horizons import horizon_dataset
 from tidemark.schemas import BASELINE_HORIZONS, KEY, MODEL_COLUMNS, TIME, target_name
+from tidemark.session import scratch_path
 
 VECTOR = "_features"
 
@@ -86,10 +87,8 @@ class LinearModel:
     means: tuple[float, ...]
 
     def prediction(self) -> Column:
-        out = F.lit(float(self.intercept))
-        for c, w in zip(self.features, self.coefficients):
-            out = out + F.col(c) * F.lit(float(w))
-        return out
+        terms = [f"`{c}` * {float(w)!r}D" for c, w in zip(self.features, self.coefficients) if w]
+        return F.expr(" + ".join([f"{float(self.intercept)!r}D", *terms]))
 
     def contributions(self) -> dict[str, Column]:
         return {c: (F.col(c) - F.lit(float(m))) * F.lit(float(w))
@@ -108,11 +107,19 @@ class Moments:
 
 
 def moments(df: DataFrame, columns: list[str]) -> Moments:
-    """Two aggregates over the data; the result is one small square matrix."""
+    """Two aggregates over the data; the result is one small square matrix.
+
+    The vectors are kept for the second pass, so that what lies before them runs once.
+    """
     vectors = assemble(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), columns).select(VECTOR)
-    stats = vectors.select(Summarizer.metrics("mean", "variance", "count").summary(F.col(VECTOR)).alias("s")).first()["s"]
+    vectors = vectors.persist()
+    try:
+        stats = vectors.select(
+            Summarizer.metrics("mean", "variance", "count").summary(F.col(VECTOR)).alias("s")).first()["s"]
+        corr = Correlation.corr(vectors, VECTOR).first()[0].toArray()
+    finally:
+        vectors.unpersist()
     n = int(stats["count"])
-    corr = Correlation.corr(vectors, VECTOR).first()[0].toArray()
     variance = np.array(stats["variance"].toArray()) * (n - 1) / n
     corr = np.nan_to_num(corr, nan=0.0)
     np.fill_diagonal(corr, 1.0)
@@ -169,12 +176,16 @@ def ridge_grid(df: DataFrame, label: str, alphas: Iterable[float] = ALPHAS,
     """Grid over feature sets and penalties on a chronological 64/16/20 split.
 
     Returns (validation table, test metrics of the winner refit on train and validation). All
-    fits come from one set of training moments and all validation scores from one scan.
+    fits come from one set of training moments and all validation scores from one scan. The
+    split rows are written once to the shared folder, since every step after it reads them.
     """
     sets = feature_sets or FEATURE_SETS
     columns = list(dict.fromkeys(c for cs in sets.values() for c in cs))
     parts = split_nested(known_rows(with_cycles(df), [*columns, label]).select(KEY, TIME, *columns, label),
                          series=series)
+    path = scratch_path(df.sparkSession, "grid")
+    parts.write.parquet(path)
+    parts = df.sparkSession.read.schema(parts.schema).parquet(path)
     known = moments(parts.where(F.col(PART) == "train"), [*columns, label])
     fits = {(s, a): ridge_from_moments(known, cs, label, a) for s, cs in sets.items() for a in alphas}
     scored = parts.where(F.col(PART) == "validation").select(label, F.inline(F.array(*[
@@ -184,6 +195,8 @@ def ridge_grid(df: DataFrame, label: str, alphas: Iterable[float] = ALPHAS,
     table = regression_metrics(scored, label, "prediction", ("feature_set", "alpha", "feature_count"))
     table = table.select("feature_set", "alpha", "feature_count", F.col("mae").alias("validation_mae"),
                          F.col("rmse").alias("validation_rmse"), F.col("r2").alias("validation_r2"))
+    # one row per fit: kept, so that ranking and returning it do not score twice
+    table = df.sparkSession.createDataFrame(table.collect(), table.schema)
     best = table.orderBy("validation_rmse", "feature_set", "alpha").first()
     refit = moments(parts.where(F.col(PART) != "test"), [*sets[best["feature_set"]], label])
     winner = ridge_from_moments(refit, sets[best["feature_set"]], label, best["alpha"])
