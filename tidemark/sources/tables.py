@@ -96,14 +96,18 @@ class KeyedTable:
         ranked = [order, _SEQ] if order else [_SEQ]
         merged = dedup_last(new, list(self.keys), ranked).drop(_SEQ)
         commit = uuid.uuid4().hex
-        self._write(merged, f"{self.path}/_merge/{commit}")
+        self._stage(merged, commit)
         self._publish(commit)
         return len(days)
 
-    def _write(self, df: DataFrame, path: str) -> None:
+    def _stage(self, merged: DataFrame, commit: str) -> None:
+        # a static write leaves the _SUCCESS mark that tells a complete merge
+        self._write(merged, f"{self.path}/_merge/{commit}", "static")
+
+    def _write(self, df: DataFrame, path: str, replace: str = "dynamic") -> None:
         # REBALANCE lets adaptive execution split a heavy day and join light ones
         (df.hint("rebalance", DAY_COLUMN).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy(DAY_COLUMN).parquet(path))
+         .option("partitionOverwriteMode", replace).partitionBy(DAY_COLUMN).parquet(path))
 
     def _publish(self, commit: str) -> None:
         merged = f"{self.path}/_merge/{commit}"
