@@ -61,8 +61,7 @@ def time_gaps(df: DataFrame, series: Series = HOURLY) -> DataFrame:
     seconds = F.col("_seconds")
     out = over_series(df.select(*series.keys, series.time), by_row, 1, 0, [
         lambda at: {"_previous": at(series.time, 1)},
-        lambda at: {"_seconds": epoch_seconds(series.time) - epoch_seconds("_previous")},
-    ])
+    ]).withColumn("_seconds", epoch_seconds(series.time) - epoch_seconds("_previous"))
     return out.where(seconds > series.step_seconds).select(
         *series.keys, F.col("_previous").alias("previous_time"), series.time,
         (seconds / series.step_seconds).alias("gap_steps"),

@@ -29,10 +29,7 @@ def known_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     One predicate per column instead of ``dropna``: its single all-column predicate makes the
     optimizer's constraint set double with every derived column it mentions.
     """
-    out = F.lit(True)
-    for c in columns:
-        out = out & F.col(c).isNotNull()
-    return df.where(out)
+    return df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in columns)) if columns else df
 
 
 def drop_null_essential(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -78,7 +75,9 @@ def equals_filter(df: DataFrame, column: str, value) -> DataFrame:
 
 
 def cast_schema(df: DataFrame, types: dict) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast(t) for c, t in types.items() if c in df.columns})
+    names = {c: t if isinstance(t, str) else t.simpleString() for c, t in types.items()}
+    return df.selectExpr(*[
+        f"CAST(`{c}` AS {names[c]}) AS `{c}`" if c in names else f"`{c}`" for c in df.columns])
 
 
 def rename(df: DataFrame, names: dict[str, str]) -> DataFrame:

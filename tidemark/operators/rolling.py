@@ -12,10 +12,10 @@ as asking for a full window of known values.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.series import At, Level, Series, over_series
+from tidemark.operators.series import At, Level, Series, over_series, quoted
 from tidemark.schemas import (
     LAG_STEPS, LAGS, MEAN_WINDOWS, PREFIX, STD_WINDOWS, change_name, lag_name, mean_name,
     std_name,
@@ -86,7 +86,7 @@ def rolling_levels(mean_windows: dict[str, list[int]], std_windows: dict[str, li
         wanted = [(m, n, parts) for m, r in recipes.items()
                   for n, (level, parts) in r.items() if level == lv]
 
-        def reads(at: At, wanted=wanted) -> dict[str, Column]:
+        def reads(at: At, wanted=wanted) -> dict[str, str]:
             out = {}
             for m, n, parts in wanted:
                 for d, k in parts:
@@ -96,39 +96,41 @@ def rolling_levels(mean_windows: dict[str, list[int]], std_windows: dict[str, li
                             out[shifted("dev", m, d, k)] = at(f"_dev_{m}_{d}", k)
             return out
 
-        def combine(at: At, wanted=wanted) -> dict[str, Column]:
+        def combine(at: At, wanted=wanted) -> dict[str, str]:
+            return {
+                total(m, n): " + ".join(quoted(shifted("sum", m, d, k)) for d, k in parts)
+                for m, n, parts in wanted
+            }
+
+        def deviate(at: At, wanted=wanted) -> dict[str, str]:
             out = {}
             for m, n, parts in wanted:
-                sums = [(d, F.col(shifted("sum", m, d, k))) for d, k in parts]
-                whole = sums[0][1]
-                for _, s in sums[1:]:
-                    whole = whole + s
-                out[total(m, n)] = whole
                 if n in dev[m]:
-                    acc = None
-                    for (d, s), (_, k) in zip(sums, parts):
-                        off = s / F.lit(float(d)) - whole / F.lit(float(n))
-                        term = off * off * F.lit(float(d))
+                    terms = []
+                    for d, k in parts:
+                        part, whole = quoted(shifted("sum", m, d, k)), quoted(total(m, n))
+                        terms.append(f"{d}D * power({part} / {d}D - {whole} / {n}D, 2)")
                         if d > 1:
-                            term = term + F.col(shifted("dev", m, d, k))
-                        acc = term if acc is None else acc + term
-                    out[f"_dev_{m}_{n}"] = acc
+                            terms.append(quoted(shifted("dev", m, d, k)))
+                    out[f"_dev_{m}_{n}"] = " + ".join(terms)
             return out
 
         levels += [reads, combine]
+        if any(n in dev[m] for m, n, _ in wanted):
+            levels.append(deviate)
     return levels
 
 
 def rolling_columns(mean_windows: dict[str, list[int]],
-                    std_windows: dict[str, list[int]]) -> dict[str, Column]:
+                    std_windows: dict[str, list[int]]) -> dict[str, str]:
     """Final columns from what ``rolling_levels`` left behind."""
-    out: dict[str, Column] = {}
+    out: dict[str, str] = {}
     for m, windows in mean_windows.items():
         for n in windows:
-            out[mean_name(m, n)] = F.col(m if n == 1 else f"_sum_{m}_{n}") / F.lit(float(n))
+            out[mean_name(m, n)] = f"{quoted(m if n == 1 else f'_sum_{m}_{n}')} / {n}D"
     for m, windows in std_windows.items():
         for n in windows:
-            out[std_name(m, n)] = F.sqrt(F.col(f"_dev_{m}_{n}") / F.lit(float(n - 1)))
+            out[std_name(m, n)] = f"sqrt({quoted(f'_dev_{m}_{n}')} / {n - 1}D)"
     return out
 
 
@@ -140,7 +142,7 @@ def lags(df: DataFrame, measure: str, steps: list[int], series: Series) -> DataF
 
 def changes(df: DataFrame, measure: str, steps: list[int], series: Series) -> DataFrame:
     return over_series(df, series, max(steps), 0, [
-        lambda at: {change_name(measure, k): F.col(measure) - at(measure, k) for k in steps}
+        lambda at: {change_name(measure, k): f"{quoted(measure)} - {at(measure, k)}" for k in steps}
     ])
 
 
@@ -176,13 +178,13 @@ def history_levels(mean_windows=None, std_windows=None, lag_steps=None, change_s
     mean_windows = {m: MEAN_WINDOWS for m in PREFIX} if mean_windows is None else mean_windows
     std_windows = {"us_aqi": STD_WINDOWS} if std_windows is None else std_windows
 
-    def first(at: At) -> dict[str, Column]:
+    def first(at: At) -> dict[str, str]:
         return {lag_name(m, k): at(m, k) for m, ks in lag_steps.items() for k in ks}
 
-    final: dict[str, Column] = {}
+    final: dict[str, str] = {}
     for m, ks in change_steps.items():
         for k in ks:
-            final[change_name(m, k)] = F.col(m) - F.col(lag_name(m, k))
+            final[change_name(m, k)] = f"{quoted(m)} - {quoted(lag_name(m, k))}"
     final.update(rolling_columns(mean_windows, std_windows))
     levels = [first] + rolling_levels(mean_windows, std_windows) + [lambda at: final]
     reach = [k for ks in [*lag_steps.values(), *change_steps.values()] for k in ks]

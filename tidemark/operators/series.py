@@ -21,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import epoch_seconds
@@ -32,8 +32,14 @@ CHUNK = "_chunk"
 HOME = "_home"
 MODES = ("dense", "rows", "time")
 
-At = Callable[[Column | str, int], Column]
-Level = Callable[[At], dict[str, Column]]
+# Wide feature blocks hold hundreds of expressions. They are written as SQL text, because each
+# Column object costs several calls into the JVM and building the plan would outlast the query.
+At = Callable[[str, int], str]
+Level = Callable[[At], dict[str, str]]
+
+
+def quoted(name: str) -> str:
+    return f"`{name}`"
 
 
 @dataclass(frozen=True)
@@ -104,22 +110,19 @@ def spread(df: DataFrame, series: Series, back: int, ahead: int) -> DataFrame:
     )
 
 
-def chunk_window(series: Series) -> WindowSpec:
-    return Window.partitionBy(*series.keys, CHUNK).orderBy(POS)
-
-
 def offset_lookup(series: Series) -> At:
-    """``at(column, k)``: the column's value k steps earlier (later for negative k)."""
-    w = chunk_window(series)
+    """``at(column, k)``: SQL for the column's value k steps earlier (later for negative k)."""
+    over = f"PARTITION BY {', '.join(map(quoted, [*series.keys, CHUNK]))} ORDER BY {POS}"
 
-    def at(column: Column | str, k: int) -> Column:
-        c = F.col(column) if isinstance(column, str) else column
+    def at(column: str, k: int) -> str:
+        c = quoted(column)
         if k == 0:
             return c
         if series.mode == "time":
-            d = -k * series.step_seconds
-            return F.first(c).over(w.rangeBetween(d, d))
-        return F.lag(c, k).over(w) if k > 0 else F.lead(c, -k).over(w)
+            side = "PRECEDING" if k > 0 else "FOLLOWING"
+            d = f"{abs(k) * series.step_seconds} {side}"
+            return f"first({c}) OVER ({over} RANGE BETWEEN {d} AND {d})"
+        return f"{'lag' if k > 0 else 'lead'}({c}, {abs(k)}) OVER ({over})"
 
     return at
 
@@ -133,6 +136,6 @@ def over_series(df: DataFrame, series: Series, back: int, ahead: int,
     for level in levels:
         columns = level(at)
         added += [c for c in columns if c not in added]
-        out = out.withColumns(columns)
+        out = out.selectExpr("*", *[f"{text} AS {quoted(c)}" for c, text in columns.items()])
     final = keep if keep is not None else df.columns + [c for c in added if c not in df.columns]
     return out.where(HOME).select(*final)

@@ -81,7 +81,7 @@ def label_check(labels: DataFrame, values: DataFrame, horizon: int, series: Seri
 
 
 def _future_level(horizon: int, suffix: str = "", measure: str | None = None):
-    def level(at) -> dict[str, Column]:
+    def level(at) -> dict[str, str]:
         out = {f"{new}{suffix}": at(src, -horizon) for new, src in FUTURE_WEATHER.items()}
         out["_future_direction"] = at(WIND_DIRECTION, -horizon)
         if measure:
@@ -146,7 +146,7 @@ def planned_extras(df: DataFrame, series: Series = HOURLY) -> DataFrame:
     r = F.radians(WIND_DIRECTION)
     season = F.floor((F.month(TIME) % 12) / 3).cast("int")
     return over_series(df, series, 24, 0, [
-        lambda at: {f"{m}_change_{k}h": F.col(m) - at(m, k) for m in ("pm2_5", "pm10") for k in (1, 24)}
+        lambda at: {f"{m}_change_{k}h": f"`{m}` - {at(m, k)}" for m in ("pm2_5", "pm10") for k in (1, 24)}
     ]).withColumns({
         "is_raining": (F.col("precipitation") > 0).cast("int"),
         "wind_x": F.col("wind_speed_10m") * F.cos(r),

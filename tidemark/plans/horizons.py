@@ -53,11 +53,10 @@ def horizon_long(df: DataFrame, horizons: list[int], series: Series = HOURLY,
     sources = {**FUTURE_WEATHER, "_direction": WIND_DIRECTION, "target": measure}
 
     def level(at):
-        return {
-            "_by_horizon": F.array(*[
-                F.struct(F.lit(h).alias("horizon"), *[at(s, -h).alias(n) for n, s in sources.items()])
-                for h in horizons])
-        }
+        def entry(h):
+            fields = [f"'horizon', {h}", *[f"'{n}', {at(s, -h)}" for n, s in sources.items()]]
+            return f"named_struct({', '.join(fields)})"
+        return {"_by_horizon": f"array({', '.join(entry(h) for h in horizons)})"}
 
     needed = list(dict.fromkeys([*series.keys, series.time, *keep, measure, *WEATHER]))
     out = over_series(df.select(*needed), series, 0, max(horizons), [level],

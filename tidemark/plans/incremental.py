@@ -104,7 +104,7 @@ def refresh_features(table: KeyedTable, air: DataFrame, weather: DataFrame, now,
     validate_batch(staged, ALL_FEATURE_COLUMNS, [KEY, TIME])
     report = run_report(marks, staged)
     out = spark.createDataFrame(report.collect(), report.schema) if _is_small(marks) else _kept(spark, report)
-    table.upsert(staged)
+    table.upsert(staged, stored=True)
     return out
 
 
@@ -173,7 +173,7 @@ def refresh_targets(table: KeyedTable, features: DataFrame, gap_policy: str = "e
     if staged.isEmpty():
         return 0
     count = validate_batch(staged, ALL_TARGET_COLUMNS, [KEY, TIME])
-    table.upsert(staged)
+    table.upsert(staged, stored=True)
     return count
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.errors import DataContractError
 from tidemark.operators.keyed import dedup_last
+from tidemark.session import scratch_path
 
 DAY_COLUMN = "dt"
 FORMATS = {"day": "yyyy-MM-dd", "month": "yyyy-MM"}
@@ -67,32 +68,39 @@ class KeyedTable:
     def _dated(self, df: DataFrame) -> DataFrame:
         return df.withColumn(DAY_COLUMN, F.date_format(self.event_time, FORMATS[self.period]))
 
-    def upsert(self, batch: DataFrame, order: str | None = None) -> int:
+    def upsert(self, batch: DataFrame, order: str | None = None, stored: bool = False) -> int:
         """Insert new keys and replace known ones; returns the number of days rewritten.
 
+        The batch is read twice (its days, then its rows), so it is written to the shared folder
+        first, unless ``stored`` says that it is a plain scan already.
+
         ``order`` ranks several rows of one key inside the batch (and against stored rows when
         the table keeps that column); without it the batch must not repeat keys.
         """
         self.recover()
+        if not stored and self.exists():
+            path = scratch_path(self.spark, "batch")
+            batch.write.parquet(path)
+            batch = self.spark.read.schema(batch.schema).parquet(path)
         dated = self._dated(batch)
+        if not self.exists():
+            return self._first(dated, order)
         days = [r[0] for r in dated.select(DAY_COLUMN).distinct().limit(MAX_LISTED_DAYS + 1).collect()]
         if not days:
             return 0
         if None in days:
             raise DataContractError(f"{self.event_time} must not be NULL")
-        new = dated.withColumn(_SEQ, F.lit(1))
-        if self.exists():
-            self.spark.catalog.refreshByPath(self.data)
-            old = self.spark.read.option("basePath", self.data).parquet(self.data)
-            old = old.withColumn(DAY_COLUMN, F.col(DAY_COLUMN).cast("string"))
-            if len(days) <= MAX_LISTED_DAYS:
-                old = old.where(F.col(DAY_COLUMN).isin(days))
-            else:
-                span = dated.agg(F.min(DAY_COLUMN), F.max(DAY_COLUMN)).first()
-                old = old.where(F.col(DAY_COLUMN).between(*span))
-                touched = dated.select(DAY_COLUMN).distinct()
-                old = old.join(touched, DAY_COLUMN, "left_semi")
-            new = old.withColumn(_SEQ, F.lit(0)).unionByName(new)
+        self.spark.catalog.refreshByPath(self.data)
+        old = self.spark.read.option("basePath", self.data).parquet(self.data)
+        old = old.withColumn(DAY_COLUMN, F.col(DAY_COLUMN).cast("string"))
+        if len(days) <= MAX_LISTED_DAYS:
+            old = old.where(F.col(DAY_COLUMN).isin(days))
+        else:
+            span = dated.agg(F.min(DAY_COLUMN), F.max(DAY_COLUMN)).first()
+            old = old.where(F.col(DAY_COLUMN).between(*span))
+            touched = dated.select(DAY_COLUMN).distinct()
+            old = old.join(touched, DAY_COLUMN, "left_semi")
+        new = old.withColumn(_SEQ, F.lit(0)).unionByName(dated.withColumn(_SEQ, F.lit(1)))
         ranked = [order, _SEQ] if order else [_SEQ]
         merged = dedup_last(new, list(self.keys), ranked).drop(_SEQ)
         commit = uuid.uuid4().hex
@@ -100,6 +108,16 @@ class KeyedTable:
         self._publish(commit)
         return len(days)
 
+    def _first(self, dated: DataFrame, order: str | None) -> int:
+        """Fill an empty table; there is nothing to merge with."""
+        commit = uuid.uuid4().hex
+        rows = dated.where(F.col(DAY_COLUMN).isNotNull() | F.raise_error(F.lit(f"{self.event_time} must not be NULL")))
+        self._stage(dedup_last(rows, list(self.keys), [order or self.event_time]), commit)
+        days = [n for n in _fs_list(self.spark, f"{self.path}/_merge/{commit}") if n.startswith(DAY_COLUMN)]
+        if days:
+            self._publish(commit)
+        return len(days)
+
     def _stage(self, merged: DataFrame, commit: str) -> None:
         # a static write leaves the _SUCCESS mark that tells a complete merge
         self._write(merged, f"{self.path}/_merge/{commit}", "static")

@@ -111,7 +111,7 @@ def ingest_features(air_raw: DataFrame, weather: KeyedTable, air: KeyedTable, fe
         staged = spark.read.schema(staged.schema).parquet(_staged(spark, staged))
         if not staged.isEmpty():
             validate_batch(staged, ALL_FEATURE_COLUMNS, [KEY, TIME])
-            features.upsert(staged)
+            features.upsert(staged, stored=True)
 
     return (air_raw.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
