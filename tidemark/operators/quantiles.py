@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import epoch_seconds
 
-SMALL = 200_000  # values one task may sort
+SMALL = 500_000  # values one task may sort
 SKETCH_ACCURACY = 2_000
 
 
@@ -28,17 +28,17 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: list[float],
     n = first["n"]
     if n == 0:
         return [None] * len(probabilities)
-    ranks = sorted({r for p in probabilities for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})
-    # per wanted rank: closed value bracket, rows below it, rows inside it
-    open_ = {r: (first["lo"], first["hi"], 0, n) for r in ranks}
+    # wanted ranks that share a closed value bracket -> (low, high, rows below it, rows inside it)
+    groups = {(math.floor(p * (n - 1)), math.ceil(p * (n - 1))) for p in probabilities}
+    open_ = {tuple(sorted(set(g))): (first["lo"], first["hi"], 0, n) for g in groups}
     done: dict[int, float] = {}
     while open_:
-        for r in [r for r, (lo, hi, _, _) in open_.items() if lo == hi]:
-            done[r] = open_.pop(r)[0]
-        small_ones = {r: b for r, b in open_.items() if b[3] <= small}
-        if small_ones:
-            done.update(_sorted_pick(values, small_ones))
-            open_ = {r: b for r, b in open_.items() if r not in small_ones}
+        for g in [g for g, b in open_.items() if b[0] == b[1]]:
+            done.update(dict.fromkeys(g, open_.pop(g)[0]))
+        few = {g: b for g, b in open_.items() if b[3] <= small}
+        if few:
+            done.update(_sorted_pick(values, few))
+            open_ = {g: b for g, b in open_.items() if g not in few}
         if open_:
             open_ = _narrow(values, open_, accuracy)
     out = []
@@ -54,49 +54,50 @@ def _inside(b):
 
 
 def _sorted_pick(values: DataFrame, brackets: dict) -> dict[int, float]:
-    distinct = sorted({b[:2] for b in brackets.values()})
-    alias = {b: f"_{i}" for i, b in enumerate(distinct)}
-    picks = [
-        F.element_at(F.col(alias[b[:2]]), r - b[2] + 1).alias(f"r{r}") for r, b in brackets.items()
-    ]
+    alias = {b: f"_{i}" for i, b in enumerate(sorted(set(brackets.values())))}
     lists = [F.sort_array(F.collect_list(F.when(_inside(b), F.col("v")))).alias(a)
              for b, a in alias.items()]
-    row = values.agg(*lists).select(*picks).first()
-    return {r: row[f"r{r}"] for r in brackets}
+    picks = {r: F.element_at(F.col(alias[b]), r - b[2] + 1).alias(f"r{r}")
+             for g, b in brackets.items() for r in g}
+    row = values.agg(*lists).select(*picks.values()).first()
+    return {r: row[f"r{r}"] for r in picks}
 
 
 def _narrow(values: DataFrame, brackets: dict, accuracy: int) -> dict:
     v, slack = F.col("v"), 2.0 / accuracy
+    items = list(brackets.items())
     sketches = []
-    for r, b in brackets.items():
-        at = (r - b[2] + 0.5) / b[3]
-        ends = F.array(F.lit(max(0.0, at - slack)), F.lit(min(1.0, at + slack)))
-        sketches.append(F.percentile_approx(F.when(_inside(b), v), ends, accuracy).alias(f"s{r}"))
+    for i, (g, b) in enumerate(items):
+        at = [(r - b[2] + 0.5) / b[3] for r in g]
+        ends = F.array(F.lit(max(0.0, at[0] - slack)), F.lit(min(1.0, at[-1] + slack)))
+        sketches.append(F.percentile_approx(F.when(_inside(b), v), ends, accuracy).alias(f"s{i}"))
     sketched = values.agg(*sketches).first()
-    trial = {}
-    for r, b in brackets.items():
-        lo, hi = sketched[f"s{r}"]
+    trial, counts = [], []
+    for i, (_, b) in enumerate(items):
+        lo, hi = sketched[f"s{i}"]
         if (lo, hi) == b[:2]:  # the sketch cannot split further: halve the value range
             middle = b[0] + (b[1] - b[0]) / 2
             lo, hi = b[0], (middle if middle < b[1] else b[0])
-        trial[r] = (lo, hi)
-    counts = []
-    for r, (lo, hi) in trial.items():
+        trial.append((lo, hi))
         counts += [
-            F.count_if(v < lo).alias(f"below{r}"), F.count_if(v.between(lo, hi)).alias(f"inside{r}"),
-            F.max(F.when(v < lo, v)).alias(f"before{r}"), F.min(F.when(v > hi, v)).alias(f"after{r}"),
-            F.max(F.when(v <= hi, v)).alias(f"top{r}"),
+            F.count_if(v < lo).alias(f"below{i}"), F.count_if(v.between(lo, hi)).alias(f"inside{i}"),
+            F.max(F.when(v < lo, v)).alias(f"before{i}"), F.min(F.when(v > hi, v)).alias(f"after{i}"),
+            F.max(F.when(v <= hi, v)).alias(f"top{i}"),
         ]
     seen = values.agg(*counts).first()
-    out = {}
-    for r, b in brackets.items():
-        below, inside = seen[f"below{r}"], seen[f"inside{r}"]
-        if r < below:
-            out[r] = (b[0], seen[f"before{r}"], b[2], below - b[2])
-        elif r < below + inside:
-            out[r] = (trial[r][0], seen[f"top{r}"], below, inside)
-        else:
-            out[r] = (seen[f"after{r}"], b[1], below + inside, b[2] + b[3] - below - inside)
+    out: dict = {}
+    for i, (g, b) in enumerate(items):
+        below, inside = seen[f"below{i}"], seen[f"inside{i}"]
+        parts: dict = {}
+        for r in g:
+            if r < below:
+                part = (b[0], seen[f"before{i}"], b[2], below - b[2])
+            elif r < below + inside:
+                part = (trial[i][0], seen[f"top{i}"], below, inside)
+            else:
+                part = (seen[f"after{i}"], b[1], below + inside, b[2] + b[3] - below - inside)
+            parts.setdefault(part, []).append(r)
+        out.update({tuple(rs): part for part, rs in parts.items()})
     return out
 
 

@@ -16,7 +16,7 @@ from tidemark.plans.features import (
 )
 from tidemark.operators.project import cast_schema
 from tidemark.schemas import KEY, MAX_HORIZON, TIME, feature_types, target_types
-from tidemark.sources.tables import KeyedTable
+from tidemark.sources.tables import KeyedTable, _fs_delete
 
 REFRESH_HOURS = 48
 LOOKBACK_HOURS = 192
@@ -105,6 +105,7 @@ def refresh_features(table: KeyedTable, air: DataFrame, weather: DataFrame, now,
     report = run_report(marks, staged)
     out = spark.createDataFrame(report.collect(), report.schema) if _is_small(marks) else _kept(spark, report)
     table.upsert(staged, stored=True)
+    _fs_delete(spark, path)
     return out
 
 
@@ -174,6 +175,7 @@ def refresh_targets(table: KeyedTable, features: DataFrame, gap_policy: str = "e
         return 0
     count = validate_batch(staged, ALL_TARGET_COLUMNS, [KEY, TIME])
     table.upsert(staged, stored=True)
+    _fs_delete(spark, path)
     return count
 
 

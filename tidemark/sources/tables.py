@@ -78,6 +78,7 @@ class KeyedTable:
         the table keeps that column); without it the batch must not repeat keys.
         """
         self.recover()
+        path = None
         if not stored and self.exists():
             path = scratch_path(self.spark, "batch")
             batch.write.parquet(path)
@@ -106,6 +107,8 @@ class KeyedTable:
         commit = uuid.uuid4().hex
         self._stage(merged, commit)
         self._publish(commit)
+        if path:
+            _fs_delete(self.spark, path)
         return len(days)
 
     def _first(self, dated: DataFrame, order: str | None) -> int:
