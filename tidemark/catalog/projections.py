@@ -177,7 +177,7 @@ def _(spark, d):
 
 @query("h11_convert_tz", "SELECT event_id, ts + INTERVAL 5 HOUR AS local_time FROM events")
 def _(spark, d):
-    return table(spark, d, "events").select("event_id", cal.convert_tz("ts", "UTC", "Asia/Karachi").alias("local_time"))
+    return table(spark, d, "events").select("event_id", cal.convert_tz("ts", "UTC", "Asia/Tashkent").alias("local_time"))
 
 
 @query("h12_earlier", f"SELECT event_id, least(ts, TIMESTAMP '{AT}') AS first_time FROM events")
