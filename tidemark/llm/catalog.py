@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import read_table
 from tidemark.llm.exact import exact_dedup
 from tidemark.llm.langid import identify_languages
+from tidemark.llm.lines import RUN, line_dedup
+from tidemark.llm.mixing import mix_sources
 from tidemark.llm.simhash import simhash_components
+from tidemark.llm.spans import MAX_WORDS, MIN_WORDS, PIECE, SENTENCE, span_dedup
 from tidemark.llm.tokens import count_tokens
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -29,10 +32,55 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY text_sha256)"""
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+#: A window of units, its later occurrences, and the texts without the units those cover.
+REPEATS_SQL = """,
+runs AS (SELECT doc_id, i AS pos, {key} AS key FROM (SELECT doc_id, u, unnest(range(len(u) - {run} + 1)) AS i FROM d)
+         WHERE {keep}),
+later AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY key ORDER BY doc_id, pos) AS k
+          FROM runs) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, pos + unnest(range({run})) AS unit FROM later),
+units AS (SELECT doc_id, unnest(u) AS x, unnest(range(len(u))) AS unit FROM {whole}),
+kept AS (SELECT doc_id, string_agg(x, {glue} ORDER BY unit) AS text FROM units ANTI JOIN gone USING (doc_id, unit)
+         GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(u) AS BIGINT) AS {count}, coalesce(n.n, 0) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+OP1_SQL = """
+WITH d AS (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END AS u
+           FROM documents)""" + REPEATS_SQL.format(
+    key=f"array_to_string(u[i + 1:i + {RUN}], chr(10))", run=RUN, keep="true", whole="d", glue="chr(10)", count="n_lines")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = span_dedup(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_sentences", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, flatten(list_transform(regexp_extract_all(coalesce(text, ''), '{SENTENCE}'),
+                  lambda s: regexp_extract_all(s, '{PIECE.format(MAX_WORDS)}'))) AS u FROM documents),
+norm AS (SELECT doc_id, list_transform(u, lambda s: trim(regexp_replace(lower(s), '[ \\t-\\r]+', ' ', 'g'))) AS u FROM d)
+""" + REPEATS_SQL.format(
+    key=f"array_to_string(u[i + 1:i + 3], chr(10))", run=3, whole="d", glue="''", count="n_sentences",
+    keep="len(array_to_string(u[i + 1:i + 3], chr(10))) - len(translate(array_to_string(u[i + 1:i + 3], chr(10)), "
+         f"chr(10) || ' ', '')) + 1 >= {MIN_WORDS}").replace("AS i FROM d)", "AS i FROM norm)")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(read_table(spark, sf_dir, "documents"))
 
@@ -42,11 +90,16 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_token_counts": op3_token_counts,
+    "op6_mix_sources": op6_mix_sources,
+    "op7_span_dedup": op7_span_dedup,
     "op9_language_id": op9_language_id,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op1_line_dedup": OP1_SQL,
     "op2_exact_dedup": OP2_SQL,
+    "op7_span_dedup": OP7_SQL,
 }
