@@ -66,6 +66,34 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+OP6_SQL = r"""
+WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                  md5(concat_ws('|', 'mix', CAST(doc_id AS VARCHAR))) AS k FROM documents),
+u AS (SELECT *, CAST('0x' || substr(k, 1, 8) AS BIGINT) AS u FROM s),
+per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY source),
+num AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM per),
+wt AS (SELECT *, CASE number % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM num),
+lev AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - 2.0::DOUBLE * coalesce(sum(source_size) OVER (
+          ORDER BY source_size / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (
+          ORDER BY source_size / weight, number ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS l,
+          sum(source_size) OVER () AS everything FROM wt),
+cut AS (SELECT *, (SELECT arg_min(l, (source_size / weight, number)) FROM lev WHERE 2.0::DOUBLE * source_size >= l * weight) AS lam FROM lev),
+t AS (SELECT *, least(2.0::DOUBLE * source_size, coalesce(lam * weight, 2.0::DOUBLE * source_size)) AS target,
+        greatest(1, CAST(ceil(source_size / greatest(1.0::DOUBLE, everything / 16384.0::DOUBLE)) AS BIGINT)) AS n_blocks FROM cut),
+d AS (SELECT u.*, t.number, t.source_size, t.target,
+        CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size) AS BIGINT) ELSE 0 END AS whole,
+        CAST(floor(u.u * t.n_blocks / 4294967296.0::DOUBLE) AS BIGINT) AS block
+      FROM u JOIN t ON u.source IS NOT DISTINCT FROM t.source),
+held AS (SELECT number, block, any_value(target - whole * source_size) AS rest, CAST(sum(size) AS BIGINT) AS words FROM d GROUP BY 1, 2),
+laid AS (SELECT *, sum(words) OVER (PARTITION BY number ORDER BY md5(concat_ws('|', 'mix', 'block', number, block)), block) - words
+         AS before FROM held),
+r AS (SELECT d.*, l.before, l.rest, l.words, sum(d.size) OVER (PARTITION BY d.number, d.block ORDER BY d.k, d.doc_id, d.size
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size / 2.0::DOUBLE AS reached
+      FROM d JOIN laid l USING (number, block))
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN before >= rest THEN 0
+         WHEN before + words <= rest THEN 1 WHEN reached <= rest - before THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r"""
+
+
 def op7_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = span_dedup(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_sentences", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -101,5 +129,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
     "op2_exact_dedup": OP2_SQL,
+    "op6_mix_sources": OP6_SQL,
     "op7_span_dedup": OP7_SQL,
 }

@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidemark.llm.common import attach, stage
 
@@ -15,7 +16,7 @@ MIN_BITS, MAX_BITS = 1 << 15, 1 << 28
 BLOCK_BITS = 1 << 15  # of Spark's bitmap functions
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normal_sha256(texts: pd.Series) -> pd.Series:
     """SHA-256 of the text with A-Z lowered; null counts as empty."""
     return pd.Series([hashlib.sha256((t or "").encode().lower()).hexdigest() for t in texts], dtype="object")
