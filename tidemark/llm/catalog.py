@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import read_table
+from tidemark.llm.decontam import decontaminate
 from tidemark.llm.exact import exact_dedup
 from tidemark.llm.langid import identify_languages
 from tidemark.llm.lines import RUN, line_dedup
@@ -109,6 +110,10 @@ norm AS (SELECT doc_id, list_transform(u, lambda s: trim(regexp_replace(lower(s)
          f"chr(10) || ' ', '')) + 1 >= {MIN_WORDS}").replace("AS i FROM d)", "AS i FROM norm)")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(read_table(spark, sf_dir, "documents"))
 
@@ -123,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op6_mix_sources": op6_mix_sources,
     "op7_span_dedup": op7_span_dedup,
+    "op8_decontaminate": op8_decontaminate,
     "op9_language_id": op9_language_id,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
