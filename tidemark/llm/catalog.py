@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import read_table
 from tidemark.llm.decontam import decontaminate
 from tidemark.llm.exact import exact_dedup
-from tidemark.llm.langid import identify_languages
+from tidemark.llm.langid import held_out, identify_languages
 from tidemark.llm.lines import RUN, line_dedup
 from tidemark.llm.mixing import mix_sources
+from tidemark.llm.secrets import scan_secrets
 from tidemark.llm.simhash import simhash_components
 from tidemark.llm.spans import MAX_WORDS, MIN_WORDS, PIECE, SENTENCE, span_dedup
 from tidemark.llm.tokens import count_tokens
@@ -62,6 +63,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_secrets(read_table(spark, sf_dir, "documents"), train_on=~held_out(F.col("doc_id")))
+    return out.filter("score > 0.5").select("doc_id", "word", "value", "score")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
@@ -126,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_token_counts": op3_token_counts,
+    "op5_secret_scan": op5_secret_scan,
     "op6_mix_sources": op6_mix_sources,
     "op7_span_dedup": op7_span_dedup,
     "op8_decontaminate": op8_decontaminate,
