@@ -17,6 +17,7 @@ from tidemark.llm.mixing import mix_sources
 from tidemark.llm.secrets import scan_secrets
 from tidemark.llm.simhash import simhash_components
 from tidemark.llm.spans import MAX_WORDS, MIN_WORDS, PIECE, SENTENCE, span_dedup
+from tidemark.llm.suffix import remove_repeated_strings
 from tidemark.llm.tokens import count_tokens
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -63,6 +64,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeated_strings(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan_secrets(read_table(spark, sf_dir, "documents"), train_on=~held_out(F.col("doc_id")))
     return out.filter("score > 0.5").select("doc_id", "word", "value", "score")
@@ -132,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_token_counts": op3_token_counts,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op6_mix_sources": op6_mix_sources,
     "op7_span_dedup": op7_span_dedup,
