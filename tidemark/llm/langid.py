@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tidemark.llm.common import id_and_text
 
@@ -157,42 +159,40 @@ def train_prototypes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return {r["lang"]: np.array([x["x"] for x in r["v"]]) for r in summed.collect()}
 
 
-def predict_language(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id",
-                     text_col: str = "text", dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
-    """doc_id, lang_pred, score: the language whose prototype has the largest cosine with the text's
+def language_of(text: Column, prototypes: dict[str, np.ndarray], dimensions: int = DIMENSIONS, seed: int = SEED) -> Column:
+    """struct<lang_pred, score>: the language whose prototype has the largest cosine with the text's
     bundle, and that cosine (0 to 1; negative ones count as 0). Ties: the first by name.
 
-    `und`, score 0: null or empty text, no letter, or nothing learned. Rows with null or repeated
-    ids are predicted like any other. Whole texts are read, very long ones in parts.
+    `und`, score 0: null or empty text, no letter, or nothing learned. Whole texts are read, very
+    long ones in parts.
     """
     names = sorted(prototypes)
     norms = [np.linalg.norm(prototypes[n]) for n in names]
     matrix = np.array([prototypes[n] / (z or 1) for n, z in zip(names, norms)], np.float64).reshape(len(names), dimensions)
-    rows = id_and_text(docs, id_col, text_col)
 
-    def run(batches):
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         profiler = Profiler(dimensions, seed)
-        for b in batches:
-            texts = b.column("text").to_pylist()
+        for part in parts:
             total: dict[int, np.ndarray] = {}
-            for numbers, rows_ in profiler.bundles(texts):
-                for i, bundle in zip(numbers, rows_):
+            for numbers, rows in profiler.bundles([t or "" for t in part]):
+                for i, bundle in zip(numbers, rows):
                     total[i] = total[i] + bundle if i in total else bundle
-            langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+            langs, scores = [UNKNOWN] * len(part), [0.0] * len(part)
             for i, bundle in total.items() if names else ():
                 cosines = matrix @ bundle.astype(np.float64) / max(float(np.linalg.norm(bundle)), 1e-12)
                 best = int(np.argmax(cosines))
                 langs[i], scores[i] = names[best], float(min(1.0, max(0.0, cosines[best])))
-            yield pa.record_batch([b.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                                  names=["doc_id", "lang_pred", "score"])
+            yield pd.DataFrame({"lang_pred": langs, "score": scores})
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    kind = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return F.pandas_udf(run, kind)(text)
 
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                        dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row, learned from the rows that are not held out."""
+    """doc_id, held_out, lang_pred, score of every row (see language_of), learned from the rows that are
+    not held out. Rows with null or repeated ids are predicted like any other."""
     prototypes = train_prototypes(docs, id_col, text_col, lang_col, dimensions, seed)
-    out = predict_language(docs, prototypes, id_col, text_col, dimensions, seed)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    out = id_and_text(docs, id_col, text_col).withColumn(
+        "l", language_of(F.col("text"), prototypes, dimensions, seed))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "l.lang_pred", "l.score")
