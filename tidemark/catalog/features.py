@@ -93,6 +93,14 @@ def _(spark, d):
     return f.wide_targets(hourly_all(spark, d), 72, ROWS)
 
 
+@query("k3_wide_targets_holes", with_frames("f2", "SELECT * FROM (SELECT series_id, time, " + ", ".join(
+    f"{lead_sql('us_aqi', h, True)} AS {target_name(h)}" for h in range(1, 73)) + " FROM f2) WHERE " + " AND ".join(
+    f"{target_name(h)} IS NOT NULL" for h in range(1, 73))))
+def _(spark, d):
+    """The default call on series with holes: labels are those of the exact hours."""
+    return f.wide_targets(hourly_by_type(spark, d))
+
+
 @query("k3_label_check", with_frames(
     "f2", "SELECT t.series_id, t.time FROM (SELECT series_id, time, lead(us_aqi, 24) OVER (PARTITION BY series_id ORDER BY time) AS y, "
     "lead(us_aqi, 72) OVER (PARTITION BY series_id ORDER BY time) AS last FROM f2) t JOIN f2 ON f2.series_id = t.series_id "

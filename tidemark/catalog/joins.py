@@ -15,7 +15,7 @@ from tidemark.plans.features import wide_targets
 from tidemark.schemas import KEY, TIME, WEATHER
 
 _LABELS = "SELECT series_id, time, " + ", ".join(
-    f"{lead_sql('us_aqi', h)} AS aqi_target_{h}h" for h in range(1, 25)) + " FROM f2"
+    f"{lead_sql('us_aqi', h)} AS aqi_target_{h}h" for h in range(1, 73)) + " FROM f2"
 
 
 @query("c1_join_sources", with_frames("pair_err", "SELECT * FROM pair_err"))
@@ -34,18 +34,18 @@ def _(spark, d):
 
 
 @query("c2_join_targets", with_frames(
-    "f2", "SELECT * FROM f2 JOIN t USING (series_id, time) WHERE aqi_target_24h IS NOT NULL", t=_LABELS))
+    "f2", "SELECT * FROM f2 JOIN t USING (series_id, time) WHERE aqi_target_72h IS NOT NULL", t=_LABELS))
 def _(spark, d):
     f2 = hourly_by_type(spark, d)
-    return joins.join_targets(f2, wide_targets(f2, 24, ROWS))
+    return joins.join_targets(f2, wide_targets(f2, 72, ROWS))
 
 
 @query("c3_training_view", with_frames(
-    "f2", "SELECT f2.*, " + ", ".join(f"aqi_target_{h}h" for h in range(1, 25))
-    + " FROM f2 LEFT JOIN (SELECT * FROM t WHERE aqi_target_24h IS NOT NULL) t USING (series_id, time)", t=_LABELS))
+    "f2", "SELECT f2.*, " + ", ".join(f"aqi_target_{h}h" for h in range(1, 73))
+    + " FROM f2 LEFT JOIN (SELECT * FROM t WHERE aqi_target_72h IS NOT NULL) t USING (series_id, time)", t=_LABELS))
 def _(spark, d):
     f2 = hourly_by_type(spark, d)
-    joins.training_view(f2, wide_targets(f2, 24, ROWS), "training_view", how="left")
+    joins.training_view(f2, wide_targets(f2, 72, ROWS), "training_view", how="left")
     return spark.table("training_view")
 
 
@@ -74,11 +74,11 @@ def _(spark, d):
 
 
 @query("c8_rejoin_features_labels", with_frames(
-    "f2", "SELECT f2.series_id, f2.time, us_aqi, pm10, aqi_target_1h, aqi_target_24h FROM f2 JOIN t USING (series_id, time) "
-    "WHERE aqi_target_24h IS NOT NULL", t=_LABELS))
+    "f2", "SELECT f2.series_id, f2.time, us_aqi, pm10, " + ", ".join(f"aqi_target_{h}h" for h in range(1, 73))
+    + " FROM f2 JOIN t USING (series_id, time) WHERE aqi_target_72h IS NOT NULL", t=_LABELS))
 def _(spark, d):
     f2 = hourly_by_type(spark, d)
-    y = wide_targets(f2, 24, ROWS).select(KEY, TIME, "aqi_target_1h", "aqi_target_24h")
+    y = wide_targets(f2, 72, ROWS)
     return joins.rejoin_features_labels(f2.select(KEY, TIME, "us_aqi", "pm10"), y)
 
 

@@ -8,6 +8,7 @@ from tidemark.catalog.frames import (
 from tidemark.catalog.registry import query
 from tidemark.operators.project import limit_source
 from tidemark.operators.sets import union_all
+from tidemark.operators.errors import DataContractError
 from tidemark.plans.features import wide_targets
 from tidemark.schemas import KEY, POLLUTANTS, TIME, hourly_schema
 from tidemark.session import scratch_path
@@ -70,20 +71,33 @@ def _(spark, d):
 
 _TRAIN_BODY = (
     "SELECT * FROM (SELECT series_id, time, us_aqi, pm2_5, pm10, "
-    + ", ".join(f"lead(us_aqi, {h}) OVER (ORDER BY time) AS aqi_target_{h}h" for h in range(1, 7))
-    + " FROM f1) WHERE aqi_target_6h IS NOT NULL")
+    + ", ".join(f"lead(us_aqi, {h}) OVER (ORDER BY time) AS aqi_target_{h}h" for h in range(1, 73))
+    + " FROM f1) WHERE aqi_target_72h IS NOT NULL")
 _TRAIN = with_frames("f1", _TRAIN_BODY)
 
 
 def _training(spark, d):
     f1 = hourly_all(spark, d)
     root = scratch_path(spark, "training")
-    labels = [f"aqi_target_{h}h" for h in range(1, 7)]
+    labels = [f"aqi_target_{h}h" for h in range(1, 73)]
     from tidemark.catalog.windows import ROWS
-    version = write_training_set(f1.join(wide_targets(f1, 6, ROWS), [KEY, TIME]), root)
+    version = write_training_set(f1.join(wide_targets(f1, 72, ROWS), [KEY, TIME]), root)
     return read_training_set(spark, root, version, [KEY, TIME], labels)
 
 
+@query("a7_upsert_order", with_frames("f5", "SELECT series_id, time, us_aqi, pm2_5, pm10, ingest_seq FROM f5 QUALIFY "
+       "row_number() OVER (PARTITION BY series_id, time ORDER BY ingest_seq DESC) = 1"))
+def _(spark, d):
+    """One batch that repeats keys: refused without an order, the last delivery wins with one."""
+    rows = redelivered(spark, d)
+    t = create_table(spark, scratch_path(spark, "tables"), "hourly", 1, (KEY, TIME), TIME)
+    try:
+        t.upsert(rows)
+    except DataContractError:
+        t.upsert(rows, "ingest_seq")
+    return t.read()
+
+
 @query("a8_write_training_set", _TRAIN)
 def _(spark, d):
     x, y = _training(spark, d)
@@ -91,7 +105,7 @@ def _(spark, d):
 
 
 @query("a9_read_training_set", with_frames(
-    "f1", "SELECT series_id, time, " + ", ".join(f"aqi_target_{h}h" for h in range(1, 7)) + " FROM t",
+    "f1", "SELECT series_id, time, " + ", ".join(f"aqi_target_{h}h" for h in range(1, 73)) + " FROM t",
     t=_TRAIN_BODY))
 def _(spark, d):
     return _training(spark, d)[1]

@@ -1,6 +1,8 @@
 """Queries for the streaming forms: each stream is run to the end over a whole table."""
 
 
+from pyspark.sql import functions as F
+
 from tidemark.catalog.frames import (
     air, hourly_all, hourly_by_type, redelivered, weather, with_frames,
 )
@@ -12,11 +14,12 @@ from tidemark.sources.tables import create_table
 from tidemark.streaming import jobs
 
 
-def landed(spark, df, label):
-    """A folder of landed rows as a stream source."""
+def landed(spark, df, label, files_a_batch=None):
+    """Landed files as a stream source, by time; all in one micro-batch, or a few at a time."""
     path = scratch_path(spark, label)
-    df.repartition(1, KEY).write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+    df.repartitionByRange(6, TIME).write.parquet(path)
+    reader = spark.readStream.schema(df.schema)
+    return (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).parquet(path)
 
 
 def finished(spark, stream):
@@ -37,7 +40,7 @@ def _(spark, d):
 def _(spark, d):
     rows = redelivered(spark, d)
     t = create_table(spark, scratch_path(spark, "tables"), "hourly", 1, (KEY, TIME), TIME)
-    jobs.upsert_stream(landed(spark, rows, "landed"), t, scratch_path(spark, "checkpoint"), "ingest_seq").awaitTermination()
+    jobs.upsert_stream(landed(spark, rows, "landed", 2), t, scratch_path(spark, "checkpoint"), "ingest_seq").awaitTermination()
     return t.read()
 
 
@@ -64,16 +67,30 @@ def _(spark, d):
     w = create_table(spark, root, "weather", 1, keys, TIME)
     feats = create_table(spark, root, "features", 2, keys, TIME)
     w.upsert(weather(spark, d))
-    stream = landed(spark, air(spark, d), "landed")
+    stream = landed(spark, air(spark, d), "landed", 2)
     jobs.ingest_features(stream, w, a, feats, scratch_path(spark, "checkpoint")).awaitTermination()
     return shaped(feats.read())
 
 
+@query("i4_ingest_late_weather", with_frames("pair", k1_sql("pair", True)))
+def _(spark, d):
+    """Weather that lands after its air hours still yields their feature rows."""
+    root = scratch_path(spark, "tables")
+    a, w, feats = [create_table(spark, root, n, v, (KEY, TIME), TIME) for n, v in (("air", 1), ("weather", 1), ("features", 2))]
+    early = F.col(TIME) < F.lit("2024-01-10").cast("timestamp_ntz")
+    both = weather(spark, d)
+    w.upsert(both.where(early))
+    jobs.ingest_features(landed(spark, air(spark, d), "landed", 3), w, a, feats, scratch_path(spark, "checkpoint")).awaitTermination()
+    late = landed(spark, both.where(~early), "late", 3)
+    jobs.ingest_weather(late, w, a, feats, scratch_path(spark, "checkpoint")).awaitTermination()
+    return shaped(feats.read())
+
+
 @query("i11_forecast_stream", with_frames("f1", "SELECT series_id, time, us_aqi FROM f1"))
 def _(spark, d):
     rows = hourly_all(spark, d).select(KEY, TIME, "us_aqi")
     t = create_table(spark, scratch_path(spark, "tables"), "forecast", 1, (KEY, TIME), TIME)
-    jobs.upsert_stream(landed(spark, rows, "landed"), t, scratch_path(spark, "checkpoint")).awaitTermination()
+    jobs.upsert_stream(landed(spark, rows, "landed", 2), t, scratch_path(spark, "checkpoint")).awaitTermination()
     return t.read()
 
 

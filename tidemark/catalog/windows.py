@@ -160,6 +160,15 @@ def _(spark, d):
     return splits.split_by_index(hourly_by_type(spark, d))
 
 
+@query("j1_split_null_keys", with_frames(
+    "f2", "SELECT *, CASE WHEN row_number() OVER (PARTITION BY series_id ORDER BY time) - 1 "
+    "< floor(count(*) OVER (PARTITION BY series_id) * 0.8) THEN 'train' ELSE 'test' END AS part FROM "
+    "(SELECT CASE WHEN series_id <> 'error' THEN series_id END AS series_id, time, us_aqi, pm2_5, pm10 FROM f2)"))
+def _(spark, d):
+    """A series without a key is a series like any other."""
+    return splits.split_by_index(hourly_by_type(spark, d).withColumn(KEY, F.when(F.col(KEY) != "error", F.col(KEY))))
+
+
 @query("j2_split_by_time", "SELECT event_id, ts, CASE WHEN ts < TIMESTAMP '2024-01-20 20:00:00' "
        "THEN 'train' ELSE 'test' END AS part FROM events")
 def _(spark, d):

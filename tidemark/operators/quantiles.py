@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import epoch_seconds
 
-SMALL = 500_000  # values one task may sort
+SMALL = 50_000  # values one task may sort, over all quantiles asked for together
 SKETCH_ACCURACY = 2_000
 
 
@@ -35,11 +35,15 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: list[float],
     while open_:
         for g in [g for g, b in open_.items() if b[0] == b[1]]:
             done.update(dict.fromkeys(g, open_.pop(g)[0]))
-        few = {g: b for g, b in open_.items() if b[3] <= small}
+        few, room = {}, small
+        for g, b in sorted(open_.items(), key=lambda item: item[1][3]):
+            if b[3] <= room:
+                few[g] = b
+                room -= 0 if b in [x for k, x in few.items() if k != g] else b[3]
         if few:
             done.update(_sorted_pick(values, few))
             open_ = {g: b for g, b in open_.items() if g not in few}
-        if open_:
+        elif open_:
             open_ = _narrow(values, open_, accuracy)
     out = []
     for p in probabilities:

@@ -8,12 +8,14 @@ the same as the plain window, because no frame reaches beyond its halo.
 
 Three meanings of "k steps back" are supported:
 
+* ``time``   the row exactly k steps earlier, else NULL; chunks are cut by time. The default:
+             a missing step never moves a value to another hour.
 * ``dense``  k rows back; the caller vouches (see ``guards.assert_regular``) that no step is
              missing, so rows and steps are the same and chunks are cut by time.
 * ``rows``   k rows back, gaps allowed; chunks are cut by exact row position.
-* ``time``   the row exactly k steps earlier, else NULL; chunks are cut by time.
 
-All three need (keys, time) to be unique and non-null: run ``dedup_last`` first.
+All three need (keys, time) to be unique: run ``dedup_last`` first. A NULL time raises; NULL
+keys are a series of their own.
 """
 
 from __future__ import annotations
@@ -49,7 +51,7 @@ class Series:
     keys: tuple[str, ...] = (KEY,)
     time: str = TIME
     step_seconds: int = HOUR_SECONDS
-    mode: str = "dense"
+    mode: str = "time"
     chunk_steps: int = 8192
 
     def __post_init__(self):
@@ -67,6 +69,12 @@ class Series:
 HOURLY = Series()
 
 
+def known_seconds(series: "Series"):
+    """Seconds of the time column; a row without a time has no place in its series and raises."""
+    return F.when(F.col(series.time).isNull(), F.raise_error(F.lit(f"{series.time} must not be NULL"))).otherwise(
+        epoch_seconds(series.time))
+
+
 def row_index(df: DataFrame, series: Series = HOURLY, name: str = POS,
               total: str | None = None) -> DataFrame:
     """Zero-based position of each row in its series, and optionally the series length.
@@ -75,7 +83,7 @@ def row_index(df: DataFrame, series: Series = HOURLY, name: str = POS,
     of the (small) bucket counts gives each bucket its start. No task sees a whole series.
     """
     keys = list(series.keys)
-    bucket = F.floor(epoch_seconds(series.time) / series.chunk_seconds)
+    bucket = F.floor(known_seconds(series) / series.chunk_seconds)
     rows = df.withColumn("_bucket", bucket)
     order = Window.partitionBy(*keys).orderBy("_bucket")
     starts = (
@@ -88,11 +96,12 @@ def row_index(df: DataFrame, series: Series = HOURLY, name: str = POS,
         )
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(series.time)
-    placed = rows.withColumn("_rn", F.row_number().over(inside) - 1).join(
-        starts, [*keys, "_bucket"], "inner"
-    )
+    numbered = rows.withColumn("_rn", F.row_number().over(inside) - 1).alias("r")
+    on = [F.col(f"r.{quoted(k)}").eqNullSafe(F.col(f"s.{quoted(k)}")) for k in [*keys, "_bucket"]]
+    placed = numbered.join(starts.alias("s"), on, "inner")
     extra = [F.col("_total").alias(total)] if total else []
-    return placed.select(*df.columns, (F.col("_start") + F.col("_rn")).alias(name), *extra)
+    own = [F.col(f"r.{quoted(c)}") for c in df.columns]
+    return placed.select(*own, (F.col("_start") + F.col("_rn")).alias(name), *extra)
 
 
 def spread(df: DataFrame, series: Series, back: int, ahead: int) -> DataFrame:
@@ -100,7 +109,7 @@ def spread(df: DataFrame, series: Series, back: int, ahead: int) -> DataFrame:
     if series.mode == "rows":
         placed, unit, size = row_index(df, series), 1, series.chunk_steps
     else:
-        placed = df.withColumn(POS, epoch_seconds(series.time))
+        placed = df.withColumn(POS, known_seconds(series))
         unit, size = series.step_seconds, series.chunk_seconds
     first = F.floor((F.col(POS) - ahead * unit) / size)
     last = F.floor((F.col(POS) + back * unit) / size)

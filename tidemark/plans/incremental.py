@@ -18,6 +18,7 @@ from tidemark.operators.project import cast_schema
 from tidemark.schemas import KEY, MAX_HORIZON, TIME, feature_types, target_types
 from tidemark.sources.tables import KeyedTable, _fs_delete
 
+# fixed values: hours that a run refreshes, and hours it reads before them
 REFRESH_HOURS = 48
 LOOKBACK_HOURS = 192
 
@@ -100,13 +101,14 @@ def refresh_features(table: KeyedTable, air: DataFrame, weather: DataFrame, now,
     rows = recompute_tail(air, weather, plan, gap_policy, order, fetch_from=low, latest=high)
     rows = cast_schema(rows, feature_types())
     path = _staged(spark, rows)
-    staged = spark.read.schema(rows.schema).parquet(path)
-    validate_batch(staged, ALL_FEATURE_COLUMNS, [KEY, TIME])
-    report = run_report(marks, staged)
-    out = spark.createDataFrame(report.collect(), report.schema) if _is_small(marks) else _kept(spark, report)
-    table.upsert(staged, stored=True)
-    _fs_delete(spark, path)
-    return out
+    try:
+        staged = spark.read.schema(rows.schema).parquet(path)
+        validate_batch(staged, ALL_FEATURE_COLUMNS, [KEY, TIME])
+        report = _kept(spark, run_report(marks, staged))
+        table.upsert(staged, stored=True, unique=True)
+    finally:
+        _fs_delete(spark, path)
+    return report
 
 
 def _staged(spark: SparkSession, rows: DataFrame) -> str:
@@ -122,10 +124,6 @@ def _kept(spark: SparkSession, report: DataFrame) -> DataFrame:
     return spark.read.schema(report.schema).parquet(_staged(spark, report))
 
 
-def _is_small(df: DataFrame, bound: int = 1000) -> bool:
-    return df.limit(bound + 1).count() <= bound
-
-
 def run_report(marks: DataFrame, batch: DataFrame, series: Series = HOURLY) -> DataFrame:
     """Per series: old newest time, new rows, refreshed rows, new newest time."""
     joined = batch.select(*series.keys, series.time).join(marks, list(series.keys), "inner")
@@ -170,12 +168,14 @@ def refresh_targets(table: KeyedTable, features: DataFrame, gap_policy: str = "e
     existing = table.read([KEY, TIME]) if table.exists() else None
     labels = cast_schema(mature_targets(narrow, existing), target_types())
     path = _staged(spark, labels)
-    staged = spark.read.schema(labels.schema).parquet(path)
-    if staged.isEmpty():
-        return 0
-    count = validate_batch(staged, ALL_TARGET_COLUMNS, [KEY, TIME])
-    table.upsert(staged, stored=True)
-    _fs_delete(spark, path)
+    try:
+        staged = spark.read.schema(labels.schema).parquet(path)
+        if staged.isEmpty():
+            return 0
+        count = validate_batch(staged, ALL_TARGET_COLUMNS, [KEY, TIME])
+        table.upsert(staged, stored=True, unique=True)
+    finally:
+        _fs_delete(spark, path)
     return count
 
 

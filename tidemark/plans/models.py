@@ -316,21 +316,25 @@ def contribution_ranking(df: DataFrame, model: LinearModel, k: int = 20) -> Data
 
 def permutation_importance(df: DataFrame, model, features: list[str], label: str,
                            keys: list[str] | None = None, seed: int = 42,
-                           rows_per_bucket: int = 10_000) -> DataFrame:
+                           buckets: int = 1024) -> DataFrame:
     """Rise in RMSE when one input is swapped with that of a random other row.
 
-    Rows fall into hash buckets of bounded size; inside a bucket each row takes the value of its
-    neighbour in hash order, so no task holds more than a bucket. Every input is scored in the
-    same pass.
+    Every row takes the value of its neighbour in the order (bucket, hash), the last one that of
+    the first. Rows are ordered inside hash buckets, whose first rows (one a bucket) close the
+    gaps between them: the pairing depends on the keys and ``buckets`` only, not on the number of
+    rows. Raise ``buckets`` with very large tables. Every input is scored in the same pass.
     """
     keys = keys or [KEY, TIME]
-    buckets = max(1, df.count() // rows_per_bucket)
     mixed = df.select(*keys, label, *features).withColumn("_hash", F.xxhash64(F.lit(seed), *keys)).withColumn(
         "_bucket", F.pmod(F.col("_hash"), F.lit(buckets)))
     w = Window.partitionBy("_bucket").orderBy("_hash", *keys)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    other = F.coalesce(F.lead(F.struct(*features), 1).over(w), F.first(F.struct(*features)).over(whole))
-    paired = mixed.withColumn("_other", other).withColumn(
+    row = F.struct(*features)
+    firsts = mixed.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("_bucket", row.alias("_first"))
+    ring = Window.orderBy("_bucket")
+    after = firsts.select("_bucket", F.coalesce(F.lead("_first").over(ring), F.first("_first").over(
+        ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_next"))
+    placed = mixed.withColumn("_lead", F.lead(row, 1).over(w)).join(F.broadcast(after), "_bucket")
+    paired = placed.withColumn("_other", F.coalesce("_lead", "_next")).withColumn(
         "_swap", F.explode(F.array(*[F.lit(i) for i in range(-1, len(features))])))
     swapped = paired.select(label, "_swap", *[
         F.when(F.col("_swap") == i, F.col(f"_other.{c}")).otherwise(F.col(c)).alias(c)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +20,13 @@ def payload_schema(variables: list[str]) -> T.StructType:
     return T.StructType([T.StructField(KEY, T.StringType()), T.StructField("hourly", T.StructType(inner))])
 
 
+def _unequal(variables: list[str]):
+    """A variable that is there, but not once for each time."""
+    hours = F.size("hourly.time")
+    off = [F.col(f"hourly.{v}").isNotNull() & (F.size(F.col(f"hourly.{v}")) != hours) for v in variables]
+    return reduce(or_, off, F.lit(False))
+
+
 def flatten_payload(raw: DataFrame, variables: list[str]) -> DataFrame:
     """One row per hour out of a struct of equal-length arrays."""
     zipped = F.arrays_zip(*[F.col(f"hourly.{c}").alias(c) for c in [TIME, *variables]])
@@ -38,7 +48,10 @@ def read_hourly_json(spark: SparkSession, path: str, variables: list[str],
     problems = raw.agg(
         F.count_if(F.col("hourly").isNull()).alias("without"),
         F.count_if(F.coalesce(F.size("hourly.time"), F.lit(-1)) <= 0).alias("empty"),
+        F.count_if(_unequal(variables)).alias("unequal"),
         F.count(F.lit(1)).alias("files")).first()
+    if problems["unequal"]:
+        raise DataContractError(f"{problems['unequal']} payloads have arrays of unequal length")
     if problems["files"] == 0 or problems["without"] or problems["empty"]:
         raise DataContractError(
             f"{problems['without']} payloads have no hourly part, {problems['empty']} are empty, "
@@ -78,7 +91,8 @@ def write_forecast(df: DataFrame, path: str, per_series: bool = False) -> None:
         df.repartition(KEY).sortWithinPartitions(KEY, "horizon_hours").write.mode(
             "overwrite").option("header", True).partitionBy(KEY).csv(path)
         return
-    df.coalesce(1).sortWithinPartitions("forecast_time").write.mode("overwrite").option(
+    # the shuffle keeps the work before it parallel; only the horizon rows meet in one task
+    df.repartition(1).sortWithinPartitions("forecast_time").write.mode("overwrite").option(
         "header", True).csv(path)
 
 

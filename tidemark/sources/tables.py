@@ -27,7 +27,6 @@ from tidemark.session import scratch_path
 
 DAY_COLUMN = "dt"
 FORMATS = {"day": "yyyy-MM-dd", "month": "yyyy-MM"}
-MAX_LISTED_DAYS = 2000
 _SEQ = "_write_order"
 
 
@@ -68,25 +67,38 @@ class KeyedTable:
     def _dated(self, df: DataFrame) -> DataFrame:
         return df.withColumn(DAY_COLUMN, F.date_format(self.event_time, FORMATS[self.period]))
 
-    def upsert(self, batch: DataFrame, order: str | None = None, stored: bool = False) -> int:
+    def upsert(self, batch: DataFrame, order: str | None = None, stored: bool = False,
+               unique: bool = False) -> int:
         """Insert new keys and replace known ones; returns the number of days rewritten.
 
-        The batch is read twice (its days, then its rows), so it is written to the shared folder
-        first, unless ``stored`` says that it is a plain scan already.
+        The batch is read more than once, so it is written to the shared folder first, unless
+        ``stored`` says that it is a plain scan already.
 
         ``order`` ranks several rows of one key inside the batch (and against stored rows when
-        the table keeps that column); without it the batch must not repeat keys.
+        the table keeps that column). Without it a batch that repeats a key is refused; ``unique``
+        says that this was checked before.
         """
         self.recover()
         path = None
-        if not stored and self.exists():
+        if not stored:
             path = scratch_path(self.spark, "batch")
             batch.write.parquet(path)
             batch = self.spark.read.schema(batch.schema).parquet(path)
-        dated = self._dated(batch)
+        try:
+            return self._merge(self._dated(batch), order, unique)
+        finally:
+            if path:
+                _fs_delete(self.spark, path)
+
+    def _merge(self, dated: DataFrame, order: str | None, unique: bool) -> int:
+        if order is None and not unique:
+            twice = dated.groupBy(*self.keys).count().where("count > 1").limit(5).collect()
+            if twice:
+                raise DataContractError(f"the batch repeats keys: {[tuple(r)[:-1] for r in twice]}")
         if not self.exists():
             return self._first(dated, order)
-        days = [r[0] for r in dated.select(DAY_COLUMN).distinct().limit(MAX_LISTED_DAYS + 1).collect()]
+        # days (or months) of the calendar: a few hundred a year, whatever the rows
+        days = [r[0] for r in dated.select(DAY_COLUMN).distinct().collect()]
         if not days:
             return 0
         if None in days:
@@ -94,21 +106,13 @@ class KeyedTable:
         self.spark.catalog.refreshByPath(self.data)
         old = self.spark.read.option("basePath", self.data).parquet(self.data)
         old = old.withColumn(DAY_COLUMN, F.col(DAY_COLUMN).cast("string"))
-        if len(days) <= MAX_LISTED_DAYS:
-            old = old.where(F.col(DAY_COLUMN).isin(days))
-        else:
-            span = dated.agg(F.min(DAY_COLUMN), F.max(DAY_COLUMN)).first()
-            old = old.where(F.col(DAY_COLUMN).between(*span))
-            touched = dated.select(DAY_COLUMN).distinct()
-            old = old.join(touched, DAY_COLUMN, "left_semi")
+        old = old.where(F.col(DAY_COLUMN).isin(days))
         new = old.withColumn(_SEQ, F.lit(0)).unionByName(dated.withColumn(_SEQ, F.lit(1)))
         ranked = [order, _SEQ] if order else [_SEQ]
         merged = dedup_last(new, list(self.keys), ranked).drop(_SEQ)
         commit = uuid.uuid4().hex
         self._stage(merged, commit)
         self._publish(commit)
-        if path:
-            _fs_delete(self.spark, path)
         return len(days)
 
     def _first(self, dated: DataFrame, order: str | None) -> int:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.functions.calendar import epoch_seconds
+from tidemark.functions.calendar import add_hours, epoch_seconds
 from tidemark.plans.incremental import (
     LOOKBACK_HOURS, _staged, bounds_of, high_water_mark, recompute_tail,
 )
@@ -19,9 +19,10 @@ from tidemark.operators.guards import validate_batch
 from tidemark.operators.project import cast_schema
 from tidemark.plans.features import ALL_FEATURE_COLUMNS
 from tidemark.schemas import KEY, TIME, feature_types
-from tidemark.sources.tables import KeyedTable
+from tidemark.sources.tables import KeyedTable, _fs_delete
 
 LATE = "48 hours"
+REACH_HOURS = 168  # the longest look back of any feature
 EVENT = "_event"
 
 
@@ -85,35 +86,60 @@ def label_stream(features: DataFrame, horizons: int = 72, delay: str = LATE,
 
 def ingest_features(air_raw: DataFrame, weather: KeyedTable, air: KeyedTable, features: KeyedTable,
                     checkpoint: str, order: str | None = None) -> StreamingQuery:
-    """Landed air rows -> air table -> feature rows, one micro-batch at a time.
+    """Landed air rows -> air table -> feature rows, one micro-batch at a time."""
+    return _ingest(air_raw, air, weather, air, features, checkpoint, order)
 
-    Each batch is stored, then the touched span of every series in it is engineered again from
-    the stored tail. Storing and upserting are idempotent, so a batch that is repeated after a
-    failure changes nothing. There is no watermark here: gaps of any age are filled.
+
+def ingest_weather(weather_raw: DataFrame, weather: KeyedTable, air: KeyedTable, features: KeyedTable,
+                   checkpoint: str, order: str | None = None) -> StreamingQuery:
+    """The same for landed weather: hours that come after their air, or are corrected.
+
+    Not to run at the same time as the air side: a table has one writer.
+    """
+    return _ingest(weather_raw, weather, weather, air, features, checkpoint, order)
+
+
+def _ingest(raw: DataFrame, own: KeyedTable, weather: KeyedTable, air: KeyedTable, features: KeyedTable,
+            checkpoint: str, order: str | None) -> StreamingQuery:
+    """Each batch is stored, then what it touches in every series is engineered again from the
+    stored rows: a changed hour reaches REACH_HOURS ahead and no further. Storing and upserting
+    are idempotent, so a batch that is repeated after a failure changes nothing. There is no
+    watermark here: gaps of any age are filled.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
         spark = batch.sparkSession
-        air.upsert(batch, order)
-        touched = batch.groupBy(KEY).agg(F.min(TIME).alias("recompute_from"))
-        # a corrected hour changes every feature that looks back on it
-        newest = high_water_mark(air.read([KEY, TIME])).withColumnRenamed("stored_max", "_stored")
-        plan = touched.join(newest, [KEY]).select(
-            KEY, "recompute_from",
-            F.col("_stored").alias("latest"),
-            (F.col("recompute_from") - F.expr(f"interval {LOOKBACK_HOURS} hours")).alias("fetch_from"))
-        plan = spark.read.schema(plan.schema).parquet(_staged(spark, plan))
-        low, high, _ = bounds_of(plan)
-        rows = recompute_tail(air.read(since=low), weather.read(since=low), plan, "by_time",
-                              fetch_from=low, latest=high)
-        staged = cast_schema(rows, feature_types())
-        staged = spark.read.schema(staged.schema).parquet(_staged(spark, staged))
-        if not staged.isEmpty():
-            validate_batch(staged, ALL_FEATURE_COLUMNS, [KEY, TIME])
-            features.upsert(staged, stored=True)
-
-    return (air_raw.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+        paths = [_staged(spark, batch)]
+        try:
+            landed = spark.read.schema(batch.schema).parquet(paths[0])
+            if landed.isEmpty():
+                return
+            own.upsert(landed, order, stored=True)
+            if not (air.exists() and weather.exists()):
+                return
+            touched = landed.groupBy(KEY).agg(
+                F.min(TIME).alias("recompute_from"), add_hours(F.max(TIME), REACH_HOURS).alias("_reach"))
+            low = landed.agg(F.min(TIME)).first()[0]
+            newest = high_water_mark(air.read([KEY, TIME], since=low)).withColumnRenamed("stored_max", "_stored")
+            plan = touched.join(newest, [KEY]).select(
+                KEY, "recompute_from", F.least("_stored", "_reach").alias("latest"),
+                add_hours("recompute_from", -LOOKBACK_HOURS).alias("fetch_from"))
+            paths.append(_staged(spark, plan))
+            plan = spark.read.schema(plan.schema).parquet(paths[-1])
+            low, high, _ = bounds_of(plan)
+            if low is None:  # no air from there on yet
+                return
+            rows = cast_schema(recompute_tail(air.read(since=low), weather.read(since=low), plan, "by_time",
+                                              fetch_from=low, latest=high), feature_types())
+            paths.append(_staged(spark, rows))
+            rows = spark.read.schema(rows.schema).parquet(paths[-1])
+            if not rows.isEmpty():
+                validate_batch(rows, ALL_FEATURE_COLUMNS, [KEY, TIME])
+                features.upsert(rows, stored=True, unique=True)
+        finally:
+            for path in paths:
+                _fs_delete(spark, path)
+
+    return (raw.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
