@@ -3,6 +3,7 @@ import random
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import T0
 from tidemark.operators import keyed
@@ -152,3 +153,23 @@ def test_all_history_on_one_shuffle(hourly):
     levels, back = history_levels()
     plan = over_series(df, HOURLY, back, 0, levels)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1
+
+
+@pytest.mark.parametrize("chunk", [10, 100, 8192])
+def test_default_labels_with_a_hole_are_exact_hours(hourly, chunk):
+    hours = [h for h in range(300) if h != 120]
+    df = hourly([("a", h, h) for h in hours])
+    got = {r["time"]: [r[f"aqi_target_{k}h"] for k in (1, 2, 3)]
+           for r in wide_targets(df, 3, Series(chunk_steps=chunk)).collect()}
+    want = {at(h): [h + 1, h + 2, h + 3] for h in hours if all(h + k in hours for k in (1, 2, 3))}
+    assert got == want and wide_targets(df, 3).count() == len(want)
+
+
+def test_null_keys_are_a_series_and_null_times_raise(hourly):
+    df = hourly([(s, h, h) for s in ("a", None) for h in range(5)])
+    got = sorted((str(r["series_id"]), r["time"], r["_pos"]) for r in row_index(df, Series(chunk_steps=2)).collect())
+    assert got == sorted((s, at(h), h) for s in ("a", "None") for h in range(5))
+    broken = df.withColumn("time", F.when(F.col("us_aqi") != 3, F.col("time")))
+    for act in (lambda: row_index(broken).collect(), lambda: lags(broken, "us_aqi", [1], HOURLY).collect()):
+        with pytest.raises(Exception, match="must not be NULL"):
+            act()

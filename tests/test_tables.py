@@ -202,3 +202,42 @@ def test_streams_need_utc(spark, hourly):
             jobs.dedup_stream(hourly([("a", 0, 1)]), [KEY, TIME])
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_repeated_keys_are_refused_without_an_order(spark, hourly):
+    t = new_table(spark, "twice")
+    twice = hourly([("a", 1, 1), ("a", 1, 2), ("a", 2, 3)])
+    with pytest.raises(DataContractError, match="repeats keys"):
+        t.upsert(twice)
+    t.upsert(hourly([("a", 1, 1)]))
+    with pytest.raises(DataContractError, match="repeats keys"):
+        t.upsert(twice)
+    assert t.read().count() == 1
+
+
+def test_arrays_of_unequal_length_are_refused(spark, tmp_path):
+    (tmp_path / "p.json").write_text(
+        '{"series_id": "a", "hourly": {"time": ["2024-01-01T00:00", "2024-01-01T01:00"], "x": [1, 2, 3]}}')
+    with pytest.raises(DataContractError, match="unequal"):
+        read_hourly_json(spark, str(tmp_path), ["x"])
+
+
+def test_late_weather_yields_its_rows_and_leaves_nothing_behind(spark):
+    import os
+
+    air, weather = sources(spark, 260)
+    root = scratch_path(spark, "late")
+    a, w, feats = [create_table(spark, root, n, 1, KEYS, TIME) for n in ("air", "weather", "features")]
+    early = F.col(TIME) < F.lit(str(at(200))).cast("timestamp_ntz")
+
+    def land(df, name):
+        path = scratch_path(spark, name)
+        df.write.parquet(path)
+        return spark.readStream.schema(df.schema).parquet(path)
+    shared = os.path.dirname(root)
+    before = set(os.listdir(shared))
+    w.upsert(weather.where(early))
+    jobs.ingest_features(land(air, "l1"), w, a, feats, scratch_path(spark, "c1")).awaitTermination()
+    jobs.ingest_weather(land(weather.where(~early), "l2"), w, a, feats, scratch_path(spark, "c2")).awaitTermination()
+    assert rows_of(feats.read()) == rows_of(cast_schema(rebuilt(air, weather), feature_types()))
+    assert not [n for n in set(os.listdir(shared)) - before if n.startswith("batch-")]
