@@ -2,18 +2,22 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.catalog.frames import air, hourly_by_type, weather, with_frames
+from tidemark.catalog.features import k1_sql
+from tidemark.catalog.frames import CATEGORY_SQL, air, hourly_by_type, weather, with_frames
 from tidemark.catalog.registry import query
 from tidemark.catalog.sqltext import lead_sql
 from tidemark.catalog.windows import ROWS, rounded
 from tidemark.functions.calendar import add_hours
 from tidemark.operators import splits
+from tidemark.operators.keyed import densify
 from tidemark.plans import features as f
 from tidemark.plans import horizons as hz
+from tidemark.plans import incremental as inc
 from tidemark.plans import models as m
 from tidemark.plans import registry as reg
 from tidemark.schemas import BASELINE_HORIZONS, KEY, MODEL_COLUMNS, SHORT_FEATURES, TIME, target_name
 from tidemark.session import scratch_path
+from tidemark.sources.tables import create_table
 
 CUT = "2024-01-20 20:00:00"
 SMALL_TREES = dict(maxIter=5)  # a registered query shows the operator; the full run is a job
@@ -160,6 +164,35 @@ def _(spark, d):
     return m.score_horizons(models, inputs, MODEL_COLUMNS)
 
 
+_PAIRS = ("SELECT a.time, CAST(epoch(b.time - a.time) / 3600 AS INTEGER) AS horizon, a.us_aqi, a.pm10, b.us_aqi AS y FROM k1 a JOIN k1 b "
+          "ON b.time > a.time AND b.time <= a.time + INTERVAL 72 HOUR")
+_G72 = "SELECT *, 'train' AS part FROM p QUALIFY count(*) OVER (PARTITION BY time) = 72"
+_SHIFT = "l.time + to_hours(h) - INTERVAL 96 HOUR"
+
+
+@query("i9_run_forecast", with_frames(
+    "pair", "SELECT series_id, forecast_time, horizon_hours, round(predicted_aqi, 3) AS predicted_aqi, forecast_temperature, forecast_wind_speed, "
+    + CATEGORY_SQL.format(x="predicted_aqi") + " AS aqi_category FROM (SELECT l.series_id, l.time + to_hours(h) AS forecast_time, h AS horizon_hours, "
+    "greatest(0, my + b1 * (l.us_aqi - m1) + b2 * (l.pm10 - m2)) AS predicted_aqi, coalesce(w.temperature_2m, 0) AS forecast_temperature, "
+    "coalesce(w.wind_speed_10m, 0) AS forecast_wind_speed FROM (SELECT * FROM k1 ORDER BY time DESC LIMIT 1) l, "
+    f"(SELECT unnest(range(1, 73)) AS h) JOIN fit ON fit.horizon = h LEFT JOIN weather w ON w.time = {_SHIFT})",
+    k1=k1_sql("pair", True), p=_PAIRS, g=_G72, mom=_MOM, fit=_FIT))
+def _(spark, d):
+    """Stored features, one ridge model a horizon, weather of the next 72 hours: checked and published."""
+    w = weather(spark, d)
+    k1 = stored(f.feature_table(f.clean_sources(air(spark, d), w)))
+    root, keys = scratch_path(spark, "tables"), (KEY, TIME)
+    table = create_table(spark, root, "features", 1, keys, TIME)
+    table.upsert(k1)
+    train = k1.join(f.wide_targets(k1), [KEY, TIME]).withColumn("part", F.lit("train"))
+    models = m.ridge_by_horizon(train, ["us_aqi", "pm10"], list(range(1, 73)))
+    future = densify(w).na.fill(0.0).withColumn(TIME, add_hours(TIME, 96))
+    forecasts = create_table(spark, root, "forecast", 1, (KEY, "forecast_time"), "forecast_time")
+    inc.run_forecast(table, future, models, MODEL_COLUMNS, forecasts)
+    return forecasts.read().select(KEY, "forecast_time", "horizon_hours", F.round("predicted_aqi", 3).alias("predicted_aqi"),
+                                   "forecast_temperature", "forecast_wind_speed", "aqi_category")
+
+
 def m_columns():
     from tidemark.schemas import MODEL_BASE_COLUMNS
     return MODEL_BASE_COLUMNS

@@ -15,7 +15,9 @@ from tidemark.plans.features import (
     wide_targets,
 )
 from tidemark.operators.project import cast_schema
-from tidemark.schemas import KEY, MAX_HORIZON, TIME, feature_types, target_types
+from tidemark.plans.horizons import live_inputs
+from tidemark.plans.models import check_horizons, score_horizons
+from tidemark.schemas import KEY, MAX_HORIZON, PREDICTION_TYPES, TIME, feature_types, target_types
 from tidemark.sources.tables import KeyedTable, _fs_delete
 
 # fixed values: hours that a run refreshes, and hours it reads before them
@@ -185,3 +187,33 @@ def upsert_forecast(table: KeyedTable, forecast: DataFrame, history: KeyedTable
     if history is not None:
         history.upsert(forecast)
     return days
+
+
+def publish_forecast(table: KeyedTable, forecast: DataFrame, horizons: int = MAX_HORIZON,
+                     history: KeyedTable | None = None) -> DataFrame:
+    """Check a run's rows (columns, nulls, keys, exactly one row a horizon) before any write.
+
+    Returns the rows as stored in the shared folder."""
+    rows = cast_schema(forecast, PREDICTION_TYPES).select(KEY, *PREDICTION_TYPES)
+    staged = _kept(table.spark, rows)
+    validate_batch(staged, [KEY, *PREDICTION_TYPES], [KEY, "forecast_time"], exact_rows_per=((KEY,), horizons))
+    upsert_forecast(table, staged, history)
+    return staged
+
+
+def run_forecast(features: KeyedTable, weather: DataFrame, models: dict[int, object], inputs: list[str],
+                 forecasts: KeyedTable, horizons: int = MAX_HORIZON, history: KeyedTable | None = None) -> DataFrame:
+    """The live forecast: newest feature row of each series, weather of the target hours, one model a
+    horizon, clamped values, checks, upsert. Returns the published rows.
+
+    Only the days from the oldest newest row on are read with all columns."""
+    check_horizons(models, horizons)
+    marks = require_marks(high_water_mark(features.read([KEY, TIME])))
+    since = marks.agg(F.min("stored_max")).first()[0]
+    rows = live_inputs(features.read(since=since), weather, horizons, inputs)
+    path = _staged(features.spark, rows)
+    try:
+        stored = features.spark.read.schema(rows.schema).parquet(path)
+        return publish_forecast(forecasts, score_horizons(models, stored, inputs), horizons, history)
+    finally:
+        _fs_delete(features.spark, path)

@@ -285,12 +285,13 @@ def feature_importance(model, features: list[str], spark, k: int = 10) -> DataFr
 def score_horizons(models: dict[int, object], inputs: DataFrame, features: list[str]) -> DataFrame:
     """Forecast rows for the horizons that have a model, in the prediction table's columns."""
     def predicted(h: int, m) -> DataFrame:
-        rows = inputs.where(F.col("horizon_hours") == h)
-        if isinstance(m, LinearModel):
-            return rows.withColumn("prediction", m.prediction())
-        return m.transform(assemble(rows, features)).drop(VECTOR)
+        return m.transform(assemble(inputs.where(F.col("horizon_hours") == h), features)).drop(VECTOR)
 
-    scored = union_all(*[predicted(h, m) for h, m in sorted(models.items())])
+    linear = {h: m for h, m in models.items() if isinstance(m, LinearModel)}
+    parts = [predicted(h, m) for h, m in sorted(models.items()) if h not in linear]
+    if linear:
+        parts.append(_linear_scores(linear, inputs))
+    scored = union_all(*parts)
     value = clamp_min("prediction")
     return scored.select(
         KEY, F.col(TIME).alias("forecast_generated_at"), "forecast_time",
@@ -302,6 +303,19 @@ def score_horizons(models: dict[int, object], inputs: DataFrame, features: list[
         category(value).alias("aqi_category"))
 
 
+def _linear_scores(models: dict[int, LinearModel], inputs: DataFrame) -> DataFrame:
+    """All linear models in one pass: a row's horizon picks its coefficients (one row a model)."""
+    names = list(dict.fromkeys(c for m in models.values() for c in m.features))
+    rows = [(h, float(m.intercept), [float(dict(zip(m.features, m.coefficients)).get(c, 0.0)) for c in names])
+            for h, m in models.items()]
+    table = inputs.sparkSession.createDataFrame(rows, "_h int, _intercept double, _weights array<double>")
+    joined = inputs.join(F.broadcast(table), F.col("horizon_hours") == F.col("_h"))
+    values = F.array(*[F.col(c).cast("double") for c in names])
+    products = F.zip_with(values, "_weights", lambda x, w: F.when(w == 0, 0.0).otherwise(x * w))
+    return joined.withColumn("prediction", F.aggregate(products, F.col("_intercept"), lambda s, x: s + x)).select(
+        *inputs.columns, "prediction")
+
+
 # -- explanation ----------------------------------------------------------------------
 def linear_contributions(df: DataFrame, model: LinearModel) -> DataFrame:
     """Additive contribution of each input to each row's forecast."""

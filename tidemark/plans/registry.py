@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tidemark.operators.errors import DataContractError
 from tidemark.operators.guards import same_order
 from tidemark.operators.project import equals_filter
-from tidemark.plans.models import LinearModel
-from tidemark.sources.tables import _fs_exists, _fs_list, _fs_read, _fs_write, next_version, versions
+from tidemark.plans.models import LinearModel, check_horizons
+from tidemark.sources.tables import _fs_claim, _fs_exists, _fs_list, _fs_read, _fs_write, next_version, versions
 
 KINDS = {c.__name__: c for c in (GBTRegressionModel, LinearRegressionModel, RandomForestRegressionModel)}
 # Horizons whose scores are kept in the metadata.
@@ -33,6 +33,8 @@ def register_models(spark: SparkSession, root: str, models: dict[int, object], f
     if sorted(rows) != wanted:
         raise DataContractError("metrics must hold one row per horizon")
     version = next_version(spark, root)
+    while not _fs_claim(spark, f"{root}/version={version}/_claim"):  # another registration took it
+        version += 1
     path = f"{root}/version={version}"
     for h in wanted:
         _save(spark, models[h], f"{path}/h={h:02d}")
@@ -81,13 +83,16 @@ def horizon_metrics(spark: SparkSession, root: str, version: int, horizon: int)
 
 def load_latest_models(spark: SparkSession, root: str,
                        features: list[str] | None = None) -> tuple[int, dict[int, object], list[str]]:
-    """(version, models by horizon, input order); another input order than saved is an error."""
+    """(version, models by horizon, input order); another input order than saved, or a bundle that
+    has lost models, is an error."""
     version = latest_version(metadata_table(spark, root)).first()["version"]
     path = f"{root}/version={version}"
     saved = json.loads(_fs_read(spark, f"{path}/features.json"))
     if features is not None:
         same_order(saved, features)
     names = [n for n in _fs_list(spark, path) if n.startswith("h=")]
+    record = json.loads(_fs_read(spark, f"{path}/metadata.json"))
+    check_horizons({int(n[2:]): n for n in names}, record["number_of_models"])
     return version, {int(n[2:]): _load(spark, f"{path}/{n}") for n in sorted(names)}, saved
 
 

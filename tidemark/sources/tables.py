@@ -226,5 +226,11 @@ def _fs_write(spark, path: str, text: str) -> None:
     out.close()
 
 
+def _fs_claim(spark, path: str) -> bool:
+    """Create an empty file; False if it is there already."""
+    fs, p = _fs(spark, path)
+    return fs.createNewFile(p)
+
+
 def _fs_read(spark, path: str) -> str:
     return "\n".join(r.value for r in spark.read.text(path).collect())
