@@ -54,6 +54,14 @@ def _bands(fp: Column, radius: int) -> Column:
         F.lit((1 << (b - a)) - 1)).alias("bits")) for k, (a, b) in enumerate(zip(edges, edges[1:]))))
 
 
+def _first_band(apart: Column, radius: int) -> Column:
+    """The first block in which two fingerprints, given what sets them apart, agree: a pair counts once."""
+    edges = [64 * k // (radius + 1) for k in range(radius + 2)]
+    masks = [((1 << b) - 1) & ~((1 << a) - 1) for a, b in zip(edges, edges[1:])]
+    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
+    return F.coalesce(*(F.when(apart.bitwiseAND(F.lit(m).cast("long")) == 0, k) for k, m in enumerate(masks)))
+
+
 def _overlap(a: Column, b: Column) -> Column:
     """Size of the intersection of two multisets."""
     return F.aggregate(F.array_distinct(b), F.lit(0), lambda n, x: n + F.least(
@@ -132,12 +140,11 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     index = index.withColumnsRenamed({"band": "item_band", "bits": "item_bits"})
     apart = F.col("fp").bitwiseXOR(F.col("item_fp"))
     near = probes.join(_small(index), (F.col("n") == F.col("item_n")) & (F.col("band") == F.col("item_band")) & (
-        F.col("bits") == F.col("item_bits"))).filter(F.bit_count(apart) <= radius)
-    # the pair counts once: in the first of the blocks that agree
-    agree = F.array_position(F.transform(_bands(apart, radius), lambda x: x["bits"] == 0), True) - 1
-    near = near.filter(agree == F.col("band"))
-    shared = _overlap(F.col("s"), F.col("item_s"))
-    return near.withColumn("similarity", shared / (F.size("s") + F.size("item_s") - shared)).filter(
+        F.col("bits") == F.col("item_bits")) & (F.bit_count(apart) <= radius) & (F.col("band") == _first_band(apart, radius)))
+    # stored, so that the costly comparison runs on the few pairs that are left
+    near = stage(near.select("doc_id", "text_hash", "item_id", "at", "n", "s", "item_s"), "near")
+    compared = near.withColumn("shared", _overlap(F.col("s"), F.col("item_s")))
+    return compared.withColumn("similarity", F.col("shared") / (F.size("s") + F.size("item_s") - F.col("shared"))).filter(
         F.col("similarity") >= similarity).select("doc_id", "text_hash", "item_id", "at", "n", "similarity")
 
 
