@@ -109,7 +109,11 @@ def test_registry_versions(spark, data):
     assert a == pytest.approx(b)
     with pytest.raises(DataContractError):
         reg.load_latest_models(spark, root, FEATURES[::-1])
+    from tidemark.sources.tables import _fs_delete
     assert reg.horizon_metrics(spark, root, 2, 1).count() == 1
+    _fs_delete(spark, f"{root}/version=2/h=01")
+    with pytest.raises(DataContractError, match="no model for horizons"):
+        reg.load_latest_models(spark, root, FEATURES)
     assert reg.promote(reg.metadata_table(spark, root), "rmse_1h").first()["promote"] is True
 
 

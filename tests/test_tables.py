@@ -241,3 +241,17 @@ def test_late_weather_yields_its_rows_and_leaves_nothing_behind(spark):
     jobs.ingest_weather(land(weather.where(~early), "l2"), w, a, feats, scratch_path(spark, "c2")).awaitTermination()
     assert rows_of(feats.read()) == rows_of(cast_schema(rebuilt(air, weather), feature_types()))
     assert not [n for n in set(os.listdir(shared)) - before if n.startswith("batch-")]
+
+
+def test_a_forecast_of_other_than_72_rows_is_not_written(spark):
+    rows = [("a", at(0), at(h), h, 50.0 + h, 1.0, 2.0, 3.0, 4.0, "Good") for h in range(1, 73)]
+    names = f"{KEY} string, forecast_generated_at timestamp_ntz, forecast_time timestamp_ntz, horizon_hours int, predicted_aqi double, " \
+            "forecast_temperature double, forecast_humidity double, forecast_precipitation double, forecast_wind_speed double, aqi_category string"
+    t = create_table(spark, scratch_path(spark, "tables"), "forecast", 1, (KEY, "forecast_time"), "forecast_time")
+    with pytest.raises(DataContractError, match="expected 72 rows"):
+        inc.publish_forecast(t, spark.createDataFrame(rows[:-1], names))
+    with pytest.raises(DataContractError, match="missing values"):
+        inc.publish_forecast(t, spark.createDataFrame([*rows[:-1], (*rows[-1][:4], None, *rows[-1][5:])], names))
+    assert not t.exists()
+    inc.publish_forecast(t, spark.createDataFrame(rows, names))
+    assert t.read().count() == 72
