@@ -30,6 +30,8 @@ def covered_units(later: DataFrame, run: int) -> DataFrame:
 def with_removed(rows: DataFrame, removed: DataFrame) -> DataFrame:
     """rows (with doc_id, text_hash) and their removed units, an empty array for most."""
     r = removed.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "removed")
+    # the removed units grow with the corpus: never broadcast them, not even where they happen to be few
+    r = r.hint("merge")
     joined = rows.join(r, rows["doc_id"].eqNullSafe(r["_d"]) & (rows["text_hash"] == r["_h"]), "left")
     return joined.withColumn("removed", F.coalesce("removed", F.expr("cast(array() as array<int>)"))).drop("_d", "_h")
 
