@@ -16,7 +16,7 @@ from tidemark.llm.decontam import contaminations
 from tidemark.llm.exact import exact_dedup
 from tidemark.llm.langid import UNKNOWN, language_of, train_prototypes
 from tidemark.llm.mixing import mix_sources, mixture
-from tidemark.llm.simhash import simhash_components
+from tidemark.llm.near import near_duplicates
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 MIN_SCORE = 0.05  # cosine with the nearest language below which a text is of none
@@ -46,10 +46,12 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the smallest doc_id stays; rows without an id stay."""
-    dropped = simhash_components(docs).filter("component_id <> doc_id").select(F.col("doc_id").alias("id")).distinct()
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the smallest
+    doc_id stays; rows without an id stay."""
+    dropped = near_duplicates(docs).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
     dropped = stage(dropped, "near")
-    return _packed(docs).join(dropped, F.col("row.doc_id") == F.col("id"), "left_anti").select("row.*")
+    same = (F.col("row.doc_id") == F.col("id")) & (F.xxhash64(F.coalesce("row.text", F.lit(""))) == F.col("hash"))
+    return _packed(docs).join(dropped, same, "left_anti").select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

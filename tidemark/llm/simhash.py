@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 from itertools import combinations
 
@@ -21,25 +21,37 @@ BATCH_ROWS = 1 << 16
 PLANES_A_TEST = 8
 
 
-def fingerprint(text: str, words: int = 3) -> int:
-    """Bit i is set if over half of the shingles' hashes have it; no words: 0."""
+def shingle_hashes(text: str, words: int) -> Iterator[np.ndarray]:
+    """Hashes of the shingles, part by part; a text of fewer words is one shingle, one without words none."""
     hashed = partial(xxhash.xxh64_intdigest, seed=SEED)
-    counts, total, last = np.zeros(BITS, np.int64), 0, []
+    found, last = False, []
     for block in word_blocks(text.encode().lower()):
         w = last + block.split()
         last = w[-(words - 1):] if words > 1 else []
         if len(w) < words:
             last = w
             continue
-        h = np.fromiter(map(hashed, map(b" ".join, zip(*(w[i:] for i in range(words))))), np.uint64)
+        found = True
+        yield np.fromiter(map(hashed, map(b" ".join, zip(*(w[i:] for i in range(words))))), np.uint64)
+    if last and not found:
+        yield np.array([hashed(b" ".join(last))], np.uint64)
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """Bit i is set if over half of the hashes have it; no hashes: 0."""
+    counts, total = np.zeros(BITS, np.int64), 0
+    for h in parts:
         counts += np.add.reduce(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"),
                                 axis=0, dtype=np.int32)
         total += len(h)
-    if not total:
-        return hashed(b" ".join(last)) if last else 0
     return int(np.packbits(counts * 2 > total, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str, words: int = 3) -> int:
+    """Bit i is set if over half of the shingles' hashes have it; no words: 0."""
+    return majority(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, text) -> (doc_id, fp bigint), over whole texts."""
     def run(batches):
@@ -122,18 +134,19 @@ def stars(nodes: np.ndarray, fps: np.ndarray, ends: np.ndarray, radius: int) ->
     return nodes[linked], nodes[root[linked]]
 
 
-def _link_batches(radius: int, batch_rows: int):
+def _link_batches(compare: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], batch_rows: int):
+    """Rows of bigints, sorted by the first (the bucket) -> (a, b) of compare(rows, ends of their buckets)."""
     def run(batches):
         held: list[np.ndarray] = []
 
         def flush(part: np.ndarray):
             starts = np.flatnonzero(np.r_[True, (part[1:, 0] != part[:-1, 0])])
             ends = np.repeat(np.r_[starts[1:], len(part)], np.diff(np.r_[starts, len(part)]))
-            a, b = stars(part[:, 1].copy(), part[:, 2].copy().view(np.uint64), ends, radius)
+            a, b = compare(part, ends)
             return pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for b in batches:
-            held.append(np.stack([b.column(k).to_numpy() for k in range(3)], axis=1))
+            held.append(np.stack([b.column(k).to_numpy() for k in range(b.num_columns)], axis=1))
             if sum(map(len, held)) >= batch_rows:  # all but the last, perhaps unfinished bucket
                 rows = np.concatenate(held)
                 cut = int(np.flatnonzero(rows[:, 0] != rows[-1, 0])[-1]) + 1 if (rows[:, 0] != rows[-1, 0]).any() else 0
@@ -157,6 +170,17 @@ def band_keys(fp: Column, radius: int, kept: int) -> Column:
     return F.array(*keys)
 
 
+def _tiles(rows: DataFrame, columns: list[str], bucket_rows: int) -> DataFrame:
+    """rows (bucket, size, fp, columns) -> (tile, columns) with each tile together in a task."""
+    parts = F.ceil(F.col("size") / bucket_rows).cast("int")
+    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    tiles = rows.withColumn("parts", parts).withColumn("part", part).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tiles = tiles.select(
+        F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("tile"), *columns)
+    return tiles.repartition("tile").sortWithinPartitions("tile")
+
+
 def hamming_links(nodes: DataFrame, radius: int = 3, kept: int = 2, bucket_rows: int = BUCKET_ROWS,
                   batch_rows: int = BATCH_ROWS) -> DataFrame:
     """(node bigint, fp bigint distinct) -> (a, b) links that span the same components as all pairs
@@ -169,14 +193,8 @@ def hamming_links(nodes: DataFrame, radius: int = 3, kept: int = 2, bucket_rows:
     rows = stage(nodes.select("node", "fp", F.explode(band_keys(F.col("fp"), radius, kept)).alias("bucket")), "bands")
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     rows = attach(rows, stage(sizes, "buckets"), "bucket", "size", "node").filter("size IS NOT NULL")
-    parts = F.ceil(F.col("size") / bucket_rows).cast("int")
-    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    tiles = rows.withColumn("parts", parts).withColumn("part", part).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tiles = tiles.select(
-        F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("tile"), "node", "fp")
-    return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(
-        _link_batches(radius, batch_rows), "a bigint, b bigint")
+    compare = lambda part, ends: stars(part[:, 1].copy(), part[:, 2].copy().view(np.uint64), ends, radius)
+    return _tiles(rows, ["node", "fp"], bucket_rows).mapInArrow(_link_batches(compare, batch_rows), "a bigint, b bigint")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3,
