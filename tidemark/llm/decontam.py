@@ -10,7 +10,7 @@ from tidemark.llm.common import id_and_text, stage
 
 WORDS, SIMILARITY, RADIUS = 5, 0.8, 18
 WORD = r"[\p{L}\p{N}]+"
-LANES, LANE_BITS, MAX_ITEM_WORDS = 4, 16, 32_767
+LANES, LANE_BITS = 2, 32  # counters of 32 bits in a sum of 64: no array of shingles is longer
 BROADCAST_ROWS = 200_000
 
 
@@ -31,7 +31,7 @@ def _small(df: DataFrame) -> DataFrame:
 def _with_fingerprint(rows: DataFrame, keys: list[str]) -> DataFrame:
     """rows with an array `s` of shingle hashes -> keys, s (as a multiset), fp.
 
-    A bit is set if over half of the hashes have it. Four 16-bit counters lie in each of 16 sums.
+    A bit is set if over half of the hashes have it. Two 32-bit counters lie in each of 32 sums.
     """
     lane = sum(1 << LANE_BITS * k for k in range(LANES))
     sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(lane))).alias(f"_s{k}") for k in range(LANE_BITS)]
@@ -42,7 +42,7 @@ def _with_fingerprint(rows: DataFrame, keys: list[str]) -> DataFrame:
         for part in range(LANES):
             bit = k + LANE_BITS * part
             value = (1 << bit) - ((1 << 64) if bit == 63 else 0)
-            count = F.shiftrightunsigned(f"_s{k}", LANE_BITS * part).bitwiseAND(F.lit(0xFFFF))
+            count = F.shiftrightunsigned(f"_s{k}", LANE_BITS * part).bitwiseAND(F.lit((1 << LANE_BITS) - 1))
             fp = fp.bitwiseOR(F.when(count * 2 > F.col("_n"), F.lit(value).cast("long")).otherwise(F.lit(0).cast("long")))
     return counted.select(*keys, "s", fp.alias("fp"))
 
@@ -63,22 +63,26 @@ def _first_band(apart: Column, radius: int) -> Column:
 
 
 def _overlap(a: Column, b: Column) -> Column:
-    """Size of the intersection of two multisets."""
-    return F.aggregate(F.array_distinct(b), F.lit(0), lambda n, x: n + F.least(
-        F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x))))
+    """Size of the intersection of two multisets: the values in both, and what is repeated in both."""
+    bound = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731, evaluates x once
+    repeats = lambda x: bound(F.array_sort(x), lambda y: F.filter(y, lambda v, i: (i > 0) & (v == F.get(y, i - 1))))
+    again = bound(F.struct(repeats(a).alias("a"), repeats(b).alias("b")), lambda r: F.aggregate(
+        F.array_distinct(r["b"]), F.lit(0), lambda n, x: n + F.least(
+            F.size(F.filter(r["a"], lambda y: y == x)), F.size(F.filter(r["b"], lambda y: y == x)))))
+    return F.size(F.array_intersect(a, b)) + again
 
 
 def benchmark_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, n, w, m, s): words, shingle length (5, or all words of a shorter item), shingles and their hashes."""
+    """(item_id, item_hash, n, w, m, s), distinct: hash of the shingles, words, shingle length (5, or all words of a
+    shorter item), number of shingles and their hashes."""
     h = F.transform(words_of(F.coalesce(F.col(text_col), F.lit(""))), lambda x: F.xxhash64(x))
-    items = benchmark.select(F.col(id_col).alias("item_id"), h.alias("h")).filter("size(h) > 0").withColumn(
-        "n", F.size("h")).withColumn("n", F.when(F.col("n") > MAX_ITEM_WORDS, F.raise_error(F.lit(
-            f"a benchmark item has more than {MAX_ITEM_WORDS} words"))).otherwise(F.col("n")))
+    items = benchmark.select(F.col(id_col).alias("item_id"), h.alias("h")).filter("size(h) > 0").distinct().withColumn(
+        "n", F.size("h"))
     w = F.least(F.lit(WORDS), F.col("n"))
     shingles = F.transform(F.sequence(F.lit(0), F.col("n") - F.col("w")), lambda k: F.when(
         F.col("n") >= WORDS, _shingle(F.col("h"), k, WORDS)).otherwise(F.xxhash64(F.col("h"))))
     return items.withColumn("w", w).withColumn("s", shingles).select(
-        "item_id", "n", "w", (F.col("n") - F.col("w") + 1).alias("m"), "s")
+        "item_id", F.xxhash64("s").alias("item_hash"), "n", "w", (F.col("n") - F.col("w") + 1).alias("m"), "s")
 
 
 def _overlap_needed(m: Column, similarity: float) -> Column:
@@ -126,7 +130,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     """
     rows = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     items = stage(benchmark_items(benchmark, item_id_col, item_text_col), "items")
-    prints = _with_fingerprint(items, ["item_id", "n"]).select(
+    prints = _with_fingerprint(items, ["item_id", "item_hash", "n"]).select(
         "item_id", F.col("n").alias("item_n"), F.col("s").alias("item_s"), F.col("fp").alias("item_fp"))
     lengths = [r["w"] for r in items.select("w").distinct().orderBy("w").collect()]  # at most five
     found = None
