@@ -55,8 +55,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of the benchmark go."""
-    hits = contaminations(docs, read_table(spark, sf_dir, "benchmark"))
+    """Documents with a passage of the benchmark go, and those that are a clipped item."""
+    hits = contaminations(docs, read_table(spark, sf_dir, "benchmark"), shorter=True)
     hits = stage(hits.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct(), "leaks")
     same = F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.xxhash64(F.coalesce("row.text", F.lit(""))) == F.col("hash"))
     return _packed(docs).join(hits, same, "left_anti").select("row.*")

@@ -90,42 +90,54 @@ def _overlap_needed(m: Column, similarity: float) -> Column:
     return F.ceil(F.lit(2 * similarity / (1 + similarity)) * m - 1e-9)
 
 
-def _windows(docs: DataFrame, items: DataFrame, length: int, similarity: float) -> DataFrame:
+def _windows(docs: DataFrame, items: DataFrame, length: int, similarity: float, shorter: bool) -> DataFrame:
     """(doc_id, text_hash, n, at, s): windows of n words, as an item has, that contain one of the
-    item's first shingles; every window similar enough does, as it may miss but m - needed of them."""
+    item's first shingles; every window similar enough does, as it may miss but m - needed of them.
+
+    With shorter, a document of fewer words than the item is one window, if it has similarity * m
+    shingles; the item may miss m - least of its own there, so somewhat more first shingles count."""
     sized = items.filter(F.col("w") == length)
-    rare = stage(sized.select("n", "m", F.explode(F.slice("s", 1, (
-        F.col("m") - _overlap_needed(F.col("m"), similarity) + 1).cast("int"))).alias("h")).distinct(), "item-shingles")
+    needed = _overlap_needed(F.col("m"), similarity)
+    least = F.ceil(F.lit(similarity) * F.col("m") - 1e-9) if shorter else needed  # what a shorter document must share
+    first = F.slice("s", 1, (F.col("m") - least + 1).cast("int"))
+    rare = sized.select("n", "m", F.posexplode(first).alias("k", "h")).groupBy("n", "m", "h").agg(F.min("k").alias("k"))
+    rare = stage(rare.select("n", "m", "h", (F.col("k") <= F.col("m") - needed).alias("early")), "item-shingles")
     h = F.transform(words_of(F.col("text")), lambda x: F.xxhash64(x))
     places = docs.select("doc_id", "text_hash", h.alias("words")).filter(F.size("words") >= length).select(
         "*", F.explode(F.sequence(F.lit(0), F.size("words") - length)).alias("i"))
     hash_ = _shingle(F.col("words"), F.col("i"), length) if length == WORDS else F.xxhash64(F.slice("words", F.col("i") + 1, length))
     met = places.withColumn("h", hash_).join(_small(rare), "h")
+    all_ = F.size("words") - length + 1
+    shingle = lambda k: _shingle(F.col("words"), k, WORDS) if length == WORDS else F.xxhash64(F.slice("words", k + 1, length))
+    whole = met.filter((all_ < F.col("m")) & (all_ >= similarity * F.col("m") - 1e-9)).select(
+        "doc_id", "text_hash", "n", F.lit(0).alias("at"), F.transform(F.sequence(F.lit(0), all_ - 1), shingle).alias("s")).distinct()
+    met = met.filter(F.col("early") & (all_ >= F.col("m")))
     first = F.greatest(F.lit(0), F.col("i") - F.col("m") + 1)
     last = F.least(F.col("i") + F.col("m") - 1, F.size("words") - length)
-    around = F.transform(F.sequence(first, last), lambda k: (
-        _shingle(F.col("words"), k, WORDS) if length == WORDS else F.xxhash64(F.slice("words", k + 1, length))))
+    around = F.transform(F.sequence(first, last), shingle)
     met = met.select("doc_id", "text_hash", "n", "m", "i", first.alias("first"), around.alias("around"))
     # A window belongs to the first such shingle in it, so none comes twice.
     order = W.partitionBy("doc_id", "text_hash", "n").orderBy("i")
     met = met.withColumn("before", F.coalesce(F.lag("i").over(order), F.lit(-1)))
     start = F.greatest("first", F.col("before") + 1)
     end = F.least("i", F.col("first") + F.size("around") - F.col("m"))
-    return met.filter(start <= end).select("doc_id", "text_hash", "n", "m", "first", "around", F.explode(
+    found = met.filter(start <= end).select("doc_id", "text_hash", "n", "m", "first", "around", F.explode(
         F.sequence(start, end)).alias("at")).select(
         "doc_id", "text_hash", "n", "at", F.slice("around", F.col("at") - F.col("first") + 1, F.col("m")).alias("s"))
+    return found.unionByName(whole) if shorter else found
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    item_id_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY,
-                   radius: int = RADIUS) -> DataFrame:
-    """(doc_id, text_hash, item_id, at, n, similarity): windows as long as a benchmark item whose
-    five-word shingles, counted with repeats, are at least `similarity` alike (weighted Jaccard).
+                   radius: int = RADIUS, shorter: bool = False) -> DataFrame:
+    """(doc_id, text_hash, item_id, at, n, similarity): windows as long as a benchmark item, of n words, whose
+    five-word shingles, counted with repeats, are at least `similarity` alike (weighted Jaccard). With
+    `shorter`, a document of fewer words than the item is one window too: a clipped item is a leak.
 
     An item of fewer than five words is one shingle. Null and empty texts and items match nothing.
     Null ids match as any other. Windows are formed only around the items' first shingles (see
-    _windows), which loses none that is similar enough. Candidates are all pairs of equal length
-    whose SimHash fingerprints lie within the radius, found by radius + 1 blocks of bits. At
+    _windows), which loses none that is similar enough. Candidates are all pairs of an item and
+    the windows made for its length whose SimHash fingerprints lie within the radius, found by radius + 1 blocks of bits. At
     similarity 0.8 a distance over 18 of 64 bits has a chance of about 2 in 1000.
     """
     rows = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
@@ -135,7 +147,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     lengths = [r["w"] for r in items.select("w").distinct().orderBy("w").collect()]  # at most five
     found = None
     for length in lengths or [WORDS]:
-        w = _windows(rows, items, length, similarity)
+        w = _windows(rows, items, length, similarity, shorter)
         found = w if found is None else found.unionByName(w)
     keys = ["doc_id", "text_hash", "n", "at"]
     windows = stage(_with_fingerprint(found, keys), "windows")
@@ -155,9 +167,10 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_id_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY,
                   radius: int = RADIUS) -> DataFrame:
-    """doc_id, contaminated, n_items, item_ids (sorted), max_similarity (0 if none): a row a row of docs."""
+    """doc_id, contaminated, n_items, item_ids (sorted), max_similarity (0 if none): a row a row of docs.
+    A document shorter than an item is compared with it as a whole."""
     rows = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_hash"))
-    hits = contaminations(docs, benchmark, id_col, text_col, item_id_col, item_text_col, similarity, radius)
+    hits = contaminations(docs, benchmark, id_col, text_col, item_id_col, item_text_col, similarity, radius, shorter=True)
     per = stage(hits.groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(
         F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("similarity").alias("max_similarity")), "leaks")
     out = rows.join(per, rows["doc_id"].eqNullSafe(per["_d"]) & (rows["text_hash"] == per["_h"]), "left")
