@@ -7,7 +7,7 @@ from tidemark.llm import catalog
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in catalog.QUERIES} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} == {k.split("_")[0] + "_" for k in catalog.QUERIES} and "pipeline" in names
 
 
 def test_stages_decide_as_brute_force_does(spark, small):

@@ -14,11 +14,14 @@ from tidemark.llm.exact import exact_dedup
 from tidemark.llm.langid import held_out, identify_languages
 from tidemark.llm.lines import RUN, line_dedup
 from tidemark.llm.mixing import mix_sources
+from tidemark.llm.pages import extract_text
+from tidemark.llm.repair import damaged, repair_conversations
 from tidemark.llm.secrets import scan_secrets
 from tidemark.llm.simhash import simhash_components
 from tidemark.llm.spans import MAX_WORDS, MIN_WORDS, PIECE, SENTENCE, span_dedup
 from tidemark.llm.suffix import remove_repeated_strings
 from tidemark.llm.tokens import count_tokens
+from tidemark.llm.whitening import whiten
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -134,6 +137,18 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damaged(read_table(spark, sf_dir, "conversations")))
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -145,6 +160,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_language_id": op9_language_id,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_html_extraction": op13_html_extraction,
 }
 ORACLES: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
