@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import T0
-from tidemark.operators.errors import DataContractError
+from tidemark.operators.errors import ConcurrentWriteError, DataContractError
 from tidemark.operators.project import cast_schema
 from tidemark.plans import features as f
 from tidemark.plans import incremental as inc
@@ -14,7 +14,8 @@ from tidemark.session import scratch_path
 from tidemark.sources.files import (
     read_csv, read_hourly_json, write_csv, write_forecast, write_hourly_json,
 )
-from tidemark.sources.tables import _fs_delete, _fs_exists, create_table, table_meta
+from tidemark.sources import tables
+from tidemark.sources.tables import _fs_list, create_table, table_meta
 from tidemark.streaming import jobs
 
 KEYS = (KEY, TIME)
@@ -70,17 +71,85 @@ def test_order_column_keeps_the_newest(spark, hourly):
     assert t.read().first()["us_aqi"] == 40.0
 
 
-def test_recover_finishes_an_interrupted_upsert(spark, hourly):
+def test_a_stopped_upsert_changes_nothing(spark, hourly, monkeypatch):
     t = new_table(spark)
     t.upsert(hourly([("a", h, h) for h in range(48)]))
-    # the state after a merge was written and one live day was already removed
-    merged = hourly([("a", h, 7) for h in range(24)])
-    t._stage(t._dated(merged), "late")
-    _fs_delete(spark, f"{t.data}/dt=2024-01-01")
-    assert t.recover() == 1
-    got = {r[TIME]: r["us_aqi"] for r in t.read().collect()}
-    assert len(got) == 48 and got[at(0)] == 7.0 and got[at(47)] == 47.0
-    assert t.recover() == 0 and not _fs_exists(spark, f"{t.path}/_merge/late")
+    before, files = rows_of(t.read()), set(_fs_list(spark, t.data))
+
+    def stop(*args):
+        raise KeyboardInterrupt
+    with monkeypatch.context() as m:
+        m.setattr(type(t), "_publish", stop)
+        with pytest.raises(KeyboardInterrupt):
+            t.upsert(hourly([("a", h, 7) for h in range(24)]))
+    assert rows_of(t.read()) == before and set(_fs_list(spark, t.data)) == files
+    t.upsert(hourly([("a", 0, 9)]))
+    assert len(rows_of(t.read())) == 48 and t.read().where("us_aqi = 9").count() == 2
+
+
+def test_a_reader_keeps_its_snapshot(spark, hourly):
+    t = new_table(spark)
+    t.upsert(hourly([("a", h, h) for h in range(48)]))
+    opened = t.read()
+    t.upsert(hourly([("a", h, -1) for h in range(72)]))
+    assert opened.count() == 48 and opened.where("us_aqi = -1").count() == 0
+    assert t.read().where("us_aqi = -1").count() == 72 and t.read(as_of=1).count() == 48
+    assert t.expire(keep=1) == 0  # young files stay
+    assert t.expire(keep=1, hours=-1) == 1  # the first commit; the marks of both still add up
+    assert t.read().count() == 72
+    with pytest.raises(DataContractError):
+        t.read(as_of=1)
+
+
+def test_of_two_writers_one_fails(spark, hourly, monkeypatch):
+    t = new_table(spark)
+    t.upsert(hourly([("a", 1, 1)]))
+    real = type(t)._publish
+
+    def late(self, *args):
+        monkeypatch.setattr(type(t), "_publish", real)
+        t.upsert(hourly([("a", 2, 2)]))  # another writer is faster
+        return real(self, *args)
+    monkeypatch.setattr(type(t), "_publish", late)
+    with pytest.raises(ConcurrentWriteError):
+        t.upsert(hourly([("a", 3, 3)]))
+    assert {r[TIME] for r in t.read().collect()} == {at(1), at(2)}
+    t.upsert(hourly([("a", 3, 3)]))
+    assert t.read().count() == 3
+
+
+def test_a_dead_writers_file_is_passed_over(spark, hourly, monkeypatch):
+    monkeypatch.setattr(tables, "GRACE_SECONDS", 0)
+    t = new_table(spark)
+    t.upsert(hourly([("a", 1, 1)]))
+    tables._fs_write(spark, f"{t.path}/_snapshots/{2:012d}.json", '{"number": 2, "ba')
+    assert t.snapshot().number == 1
+    t.upsert(hourly([("a", 2, 2)]))
+    assert t.snapshot().number == 3 and t.read().count() == 2
+
+
+def test_marks_follow_every_upsert(spark, hourly):
+    t = new_table(spark)
+    r, seen = random.Random(3), {}
+    for k in range(12):  # past the point where marks are written as one
+        hours = [(r.choice("abc"), r.randint(0, 300)) for _ in range(3)]
+        t.upsert(hourly([(s, h, k) for s, h in sorted(set(hours))]))
+        for s, h in hours:
+            seen.setdefault(s, set()).add(h)
+        if k in (0, 8, 11):
+            got = {x[KEY]: (x["stored_min"], x["stored_max"]) for x in t.marks().collect()}
+            assert got == {s: (at(min(hs)), at(max(hs))) for s, hs in seen.items()}
+    assert len(t.snapshot().marks) < 9
+    assert "data/commit" not in t.marks()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_batch_of_a_stream_counts_once(spark, hourly):
+    t = new_table(spark)
+    assert t.upsert(hourly([("a", 1, 1)]), stream=("s", 4)) == 1
+    assert t.upsert(hourly([("a", 1, 2)]), stream=("s", 4)) == 0 and t.read().first()["us_aqi"] == 1.0
+    assert t.upsert(hourly([("a", 1, 3)]), stream=("s", 5)) == 1 and t.upsert(hourly([("a", 1, 4)]), stream=("other", 0)) == 1
+    with pytest.raises(DataContractError, match="columns differ"):
+        t.upsert(hourly([("a", 1, 1)], "other"))
 
 
 def test_scan_prunes_days_and_columns(spark, hourly):
@@ -179,8 +248,8 @@ def test_ingest_stream_in_several_batches_equals_rebuild(spark):
     air, weather = sources(spark, 260, ("a",))
     corrected, _ = sources(spark, 260, ("a",), bump=100)
     root = scratch_path(spark, "tables")
-    tables = [create_table(spark, root, n, 1, KEYS, TIME) for n in ("weather", "air", "features")]
-    tables[0].upsert(weather)
+    stored = [create_table(spark, root, n, 1, KEYS, TIME) for n in ("weather", "air", "features")]
+    stored[0].upsert(weather)
     landing = scratch_path(spark, "landing")
     hour = (F.unix_timestamp(F.col(TIME).cast("timestamp")) - F.lit(int((T0 - dt.datetime(1970, 1, 1)).total_seconds()))) / 3600
     checkpoint = scratch_path(spark, "checkpoint")
@@ -188,9 +257,9 @@ def test_ingest_stream_in_several_batches_equals_rebuild(spark):
                  corrected.where(hour == 100)):
         part.coalesce(1).write.mode("append").parquet(landing)
         stream = spark.readStream.schema(air.schema).parquet(landing)
-        jobs.ingest_features(stream, *tables, checkpoint).awaitTermination()
+        jobs.ingest_features(stream, *stored, checkpoint).awaitTermination()
     want = cast_schema(f.feature_table(f.clean_sources(corrected, weather)), feature_types())
-    got = tables[2].read()
+    got = stored[2].read()
     assert got.exceptAll(want).isEmpty() and got.count() == want.count() == 260 - 168
 
 
@@ -255,3 +324,30 @@ def test_a_forecast_of_other_than_72_rows_is_not_written(spark):
     assert not t.exists()
     inc.publish_forecast(t, spark.createDataFrame(rows, names))
     assert t.read().count() == 72
+
+
+def test_islands_of_touched_hours(spark, hourly):
+    rows = hourly([("a", 0, 1), ("a", 5, 1), ("a", 300, 1), ("a", 2000, 1), ("b", 10, 1), ("c", 7000, 1), ("d", 50, 1)])
+    newest = spark.createDataFrame([("a", at(2050)), ("b", at(9000)), ("c", at(100)), ("x", at(5))], f"{KEY} string, stored_max timestamp_ntz")
+    got = {tuple(r) for r in inc.touched_intervals(rows, newest).collect()}
+    assert got == {("a", at(-192), at(0), at(468)), ("a", at(1808), at(2000), at(2050)), ("b", at(-182), at(10), at(178))}
+
+
+def test_corrections_far_apart_read_only_their_days(spark, monkeypatch):
+    """Two hours 80 days apart: the days between them are neither read nor written."""
+    air, weather = sources(spark, 2000, ("a",))
+    root = scratch_path(spark, "far")
+    a, w, feats = [create_table(spark, root, n, 1, KEYS, TIME) for n in ("air", "weather", "features")]
+    a.upsert(air)
+    w.upsert(weather)
+    feats.upsert(rebuilt(air, weather))
+    days = []
+    monkeypatch.setattr(jobs, "plan_days", lambda plan, table: days.append(inc.plan_days(plan, table)) or days[-1])
+    path = scratch_path(spark, "landed")
+    fixed = F.when(F.col(TIME).isin(at(100), at(1990)), F.col("us_aqi") + 5).otherwise(F.col("us_aqi"))
+    corrected = air.withColumn("us_aqi", fixed)
+    corrected.where(F.col(TIME).isin(at(100), at(1990))).write.parquet(path)
+    jobs.ingest_features(spark.readStream.schema(air.schema).parquet(path), w, a, feats, scratch_path(spark, "c")).awaitTermination()
+    assert all(len(x) < 30 for x in days) and len(days) == 2  # of 84 days
+    want = cast_schema(f.feature_table(f.clean_sources(corrected, weather)), feature_types())
+    assert feats.read().exceptAll(want).isEmpty() and feats.read().count() == want.count()

@@ -18,6 +18,7 @@ from tidemark.plans import registry as reg
 from tidemark.schemas import BASELINE_HORIZONS, KEY, MODEL_COLUMNS, SHORT_FEATURES, TIME, target_name
 from tidemark.session import scratch_path
 from tidemark.sources.tables import create_table
+from tidemark.streaming import jobs
 
 CUT = "2024-01-20 20:00:00"
 SMALL_TREES = dict(maxIter=5)  # a registered query shows the operator; the full run is a job
@@ -170,27 +171,63 @@ _G72 = "SELECT *, 'train' AS part FROM p QUALIFY count(*) OVER (PARTITION BY tim
 _SHIFT = "l.time + to_hours(h) - INTERVAL 96 HOUR"
 
 
-@query("i9_run_forecast", with_frames(
-    "pair", "SELECT series_id, forecast_time, horizon_hours, round(predicted_aqi, 3) AS predicted_aqi, forecast_temperature, forecast_wind_speed, "
-    + CATEGORY_SQL.format(x="predicted_aqi") + " AS aqi_category FROM (SELECT l.series_id, l.time + to_hours(h) AS forecast_time, h AS horizon_hours, "
-    "greatest(0, my + b1 * (l.us_aqi - m1) + b2 * (l.pm10 - m2)) AS predicted_aqi, coalesce(w.temperature_2m, 0) AS forecast_temperature, "
-    "coalesce(w.wind_speed_10m, 0) AS forecast_wind_speed FROM (SELECT * FROM k1 ORDER BY time DESC LIMIT 1) l, "
-    f"(SELECT unnest(range(1, 73)) AS h) JOIN fit ON fit.horizon = h LEFT JOIN weather w ON w.time = {_SHIFT})",
-    k1=k1_sql("pair", True), p=_PAIRS, g=_G72, mom=_MOM, fit=_FIT))
-def _(spark, d):
-    """Stored features, one ridge model a horizon, weather of the next 72 hours: checked and published."""
+def forecast_sql(newest: str) -> str:
+    """The forecasts of the given newest feature rows, all 72 hours of each, by the closed-form ridge fits."""
+    return (
+        "SELECT series_id, time AS forecast_generated_at, forecast_time, horizon_hours, round(predicted_aqi, 3) AS predicted_aqi, forecast_temperature, forecast_wind_speed, "
+        + CATEGORY_SQL.format(x="predicted_aqi") + " AS aqi_category FROM (SELECT l.series_id, l.time, l.time + to_hours(h) AS forecast_time, h AS horizon_hours, "
+        "greatest(0, my + b1 * (l.us_aqi - m1) + b2 * (l.pm10 - m2)) AS predicted_aqi, coalesce(w.temperature_2m, 0) AS forecast_temperature, "
+        f"coalesce(w.wind_speed_10m, 0) AS forecast_wind_speed FROM ({newest}) l, "
+        f"(SELECT unnest(range(1, 73)) AS h) JOIN fit ON fit.horizon = h LEFT JOIN weather w ON w.time = {_SHIFT})")
+
+
+_FORECAST_PARTS = dict(k1=k1_sql("pair", True), p=_PAIRS, g=_G72, mom=_MOM, fit=_FIT)
+_SHOWN = [KEY, "forecast_generated_at", "forecast_time", "horizon_hours", "predicted_aqi", "forecast_temperature", "forecast_wind_speed", "aqi_category"]
+
+
+def _forecast_setup(spark, d):
+    """Feature rows, one ridge model a horizon, the weather of the hours ahead, an empty forecast table."""
     w = weather(spark, d)
     k1 = stored(f.feature_table(f.clean_sources(air(spark, d), w)))
-    root, keys = scratch_path(spark, "tables"), (KEY, TIME)
-    table = create_table(spark, root, "features", 1, keys, TIME)
-    table.upsert(k1)
     train = k1.join(f.wide_targets(k1), [KEY, TIME]).withColumn("part", F.lit("train"))
     models = m.ridge_by_horizon(train, ["us_aqi", "pm10"], list(range(1, 73)))
-    future = densify(w).na.fill(0.0).withColumn(TIME, add_hours(TIME, 96))
-    forecasts = create_table(spark, root, "forecast", 1, (KEY, "forecast_time"), "forecast_time")
+    future = stored(densify(w).na.fill(0.0).withColumn(TIME, add_hours(TIME, 96)))
+    root = scratch_path(spark, "tables")
+    return k1, models, future, root, create_table(spark, root, "forecast", 1, (KEY, "forecast_time"), "forecast_time")
+
+
+def _published(forecasts):
+    return forecasts.read().withColumn("predicted_aqi", F.round("predicted_aqi", 3)).select(*_SHOWN)
+
+
+@query("i9_run_forecast", with_frames("pair", forecast_sql("SELECT * FROM k1 ORDER BY time DESC LIMIT 1"), **_FORECAST_PARTS))
+def _(spark, d):
+    """Stored features, one ridge model a horizon, weather of the next 72 hours: checked and published."""
+    k1, models, future, root, forecasts = _forecast_setup(spark, d)
+    table = create_table(spark, root, "features", 1, (KEY, TIME), TIME)
+    table.upsert(k1)
     inc.run_forecast(table, future, models, MODEL_COLUMNS, forecasts)
-    return forecasts.read().select(KEY, "forecast_time", "horizon_hours", F.round("predicted_aqi", 3).alias("predicted_aqi"),
-                                   "forecast_temperature", "forecast_wind_speed", "aqi_category")
+    return _published(forecasts)
+
+
+_CUTS = ("2024-01-25 00:00:00", "2024-01-26 12:00:00", "2024-12-31 00:00:00")
+
+
+@query("i11_forecast_stream", with_frames(
+    "pair", "SELECT * FROM (" + forecast_sql(" UNION ".join(
+        f"SELECT * FROM (SELECT * FROM k1 WHERE time < TIMESTAMP '{c}' ORDER BY time DESC LIMIT 1)" for c in _CUTS)) +
+    ") QUALIFY row_number() OVER (PARTITION BY series_id, forecast_time ORDER BY forecast_generated_at DESC) = 1", **_FORECAST_PARTS))
+def _(spark, d):
+    """Feature rows land in three micro-batches, each forecasts 72 hours; late rows land after them and publish nothing."""
+    k1, models, future, _, forecasts = _forecast_setup(spark, d)
+    path, checkpoint = scratch_path(spark, "landed"), scratch_path(spark, "checkpoint")
+    edges = [F.lit(c).cast("timestamp_ntz") for c in ("2000-01-01 00:00:00", *_CUTS)]
+    late = k1.where(F.col(TIME) < edges[1])
+    for rows in (*(k1.where((F.col(TIME) >= a) & (F.col(TIME) < b)) for a, b in zip(edges, edges[1:])), late):
+        rows.write.mode("append").parquet(path)
+        jobs.forecast_stream(spark.readStream.schema(k1.schema).parquet(path), future, models, MODEL_COLUMNS, forecasts,
+                             checkpoint).awaitTermination()
+    return _published(forecasts)
 
 
 def m_columns():

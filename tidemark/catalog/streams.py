@@ -3,11 +3,10 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.catalog.frames import (
-    air, hourly_all, hourly_by_type, redelivered, weather, with_frames,
-)
+from tidemark.catalog.frames import air, hourly_by_type, redelivered, weather, with_frames
 from tidemark.catalog.features import k1_sql, shaped
 from tidemark.catalog.registry import query
+from tidemark.plans import incremental as inc
 from tidemark.schemas import KEY, POLLUTANTS, TIME, WEATHER
 from tidemark.session import scratch_path
 from tidemark.sources.tables import create_table
@@ -86,11 +85,30 @@ def _(spark, d):
     return shaped(feats.read())
 
 
-@query("i11_forecast_stream", with_frames("f1", "SELECT series_id, time, us_aqi FROM f1"))
+_CORRECTED = ("CASE WHEN time IN (TIMESTAMP '2024-01-03 05:00:00', TIMESTAMP '2024-01-29 07:00:00') THEN us_aqi + 7 ELSE us_aqi END AS us_aqi")
+
+
+@query("i4_distant_corrections", with_frames("pair", k1_sql("fixed", True), fixed=f"SELECT * REPLACE ({_CORRECTED}) FROM pair"))
 def _(spark, d):
-    rows = hourly_all(spark, d).select(KEY, TIME, "us_aqi")
-    t = create_table(spark, scratch_path(spark, "tables"), "forecast", 1, (KEY, TIME), TIME)
-    jobs.upsert_stream(landed(spark, rows, "landed", 2), t, scratch_path(spark, "checkpoint")).awaitTermination()
-    return t.read()
+    """Two hours far apart are corrected after the table was filled: two islands are engineered again."""
+    root = scratch_path(spark, "tables")
+    a, w, feats = [create_table(spark, root, n, v, (KEY, TIME), TIME) for n, v in (("air", 1), ("weather", 1), ("features", 2))]
+    rows = air(spark, d)
+    w.upsert(weather(spark, d))
+    checkpoint = scratch_path(spark, "checkpoint")
+    jobs.ingest_features(landed(spark, rows, "landed"), w, a, feats, checkpoint).awaitTermination()
+    late = rows.where(F.col(TIME).cast("string").isin("2024-01-03 05:00:00", "2024-01-29 07:00:00"))
+    late = landed(spark, late.withColumn("us_aqi", F.col("us_aqi") + 7), "late")
+    jobs.ingest_features(late, w, a, feats, scratch_path(spark, "checkpoint")).awaitTermination()
+    return shaped(feats.read())
 
 
+@query("i4_touched_intervals", with_frames(
+    "f2", "SELECT series_id, min(time) - INTERVAL 192 HOUR AS fetch_from, min(time) AS recompute_from, least(max(time) + INTERVAL 168 HOUR, any_value(last)) "
+    "AS latest FROM (SELECT *, sum(first) OVER (PARTITION BY series_id ORDER BY time) AS island FROM (SELECT f2.series_id, f2.time, last, CASE WHEN "
+    "f2.time - INTERVAL 360 HOUR <= lag(f2.time) OVER (PARTITION BY f2.series_id ORDER BY f2.time) THEN 0 ELSE 1 END AS first "
+    "FROM f2 JOIN (SELECT series_id, max(time) AS last FROM f2 GROUP BY series_id) m ON m.series_id = f2.series_id WHERE day(f2.time) IN (2, 28))) GROUP BY series_id, island"))
+def _(spark, d):
+    """The spans that an arbitrary set of changed hours makes necessary, several a series."""
+    rows = hourly_by_type(spark, d)
+    return inc.touched_intervals(rows.where(F.dayofmonth(TIME).isin(2, 28)).select(KEY, TIME), inc.high_water_mark(rows))

@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.functions.calendar import add_hours, epoch_seconds
+from tidemark.functions.calendar import epoch_seconds
 from tidemark.plans.incremental import (
-    LOOKBACK_HOURS, _staged, bounds_of, high_water_mark, recompute_tail,
+    REACH_HOURS, _staged, bounds_of, forecast_rows, plan_days, recompute_tail, stored_marks, touched_intervals,
 )
+from tidemark.plans.models import check_horizons
 from tidemark.operators.guards import validate_batch
 from tidemark.operators.project import cast_schema
 from tidemark.plans.features import ALL_FEATURE_COLUMNS
@@ -22,7 +23,6 @@ from tidemark.schemas import KEY, TIME, feature_types
 from tidemark.sources.tables import KeyedTable, _fs_delete
 
 LATE = "48 hours"
-REACH_HOURS = 168  # the longest look back of any feature
 EVENT = "_event"
 
 
@@ -101,10 +101,11 @@ def ingest_weather(weather_raw: DataFrame, weather: KeyedTable, air: KeyedTable,
 
 def _ingest(raw: DataFrame, own: KeyedTable, weather: KeyedTable, air: KeyedTable, features: KeyedTable,
             checkpoint: str, order: str | None) -> StreamingQuery:
-    """Each batch is stored, then what it touches in every series is engineered again from the
-    stored rows: a changed hour reaches REACH_HOURS ahead and no further. Storing and upserting
-    are idempotent, so a batch that is repeated after a failure changes nothing. There is no
-    watermark here: gaps of any age are filled.
+    """Each batch is stored, then what it touches in every series is engineered again from the stored
+    rows: a changed hour reaches REACH_HOURS ahead and no further, and hours far apart are islands of
+    their own (see touched_intervals). Only the days of those spans are read, and the newest hours come
+    from the air table's marks. Storing and upserting are idempotent, so a batch that is repeated after a
+    failure changes nothing. There is no watermark here: gaps of any age are filled.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -116,20 +117,14 @@ def _ingest(raw: DataFrame, own: KeyedTable, weather: KeyedTable, air: KeyedTabl
             own.upsert(landed, order, stored=True)
             if not (air.exists() and weather.exists()):
                 return
-            touched = landed.groupBy(KEY).agg(
-                F.min(TIME).alias("recompute_from"), add_hours(F.max(TIME), REACH_HOURS).alias("_reach"))
-            low = landed.agg(F.min(TIME)).first()[0]
-            newest = high_water_mark(air.read([KEY, TIME], since=low)).withColumnRenamed("stored_max", "_stored")
-            plan = touched.join(newest, [KEY]).select(
-                KEY, "recompute_from", F.least("_stored", "_reach").alias("latest"),
-                add_hours("recompute_from", -LOOKBACK_HOURS).alias("fetch_from"))
+            plan = touched_intervals(landed.select(KEY, TIME), stored_marks(air))
             paths.append(_staged(spark, plan))
             plan = spark.read.schema(plan.schema).parquet(paths[-1])
             low, high, _ = bounds_of(plan)
             if low is None:  # no air from there on yet
                 return
-            rows = cast_schema(recompute_tail(air.read(since=low), weather.read(since=low), plan, "by_time",
-                                              fetch_from=low, latest=high), feature_types())
+            rows = cast_schema(recompute_tail(air.read(days=plan_days(plan, air)), weather.read(days=plan_days(plan, weather)),
+                                              plan, "by_time", fetch_from=low, latest=high), feature_types())
             paths.append(_staged(spark, rows))
             rows = spark.read.schema(rows.schema).parquet(paths[-1])
             if not rows.isEmpty():
@@ -143,8 +138,46 @@ def _ingest(raw: DataFrame, own: KeyedTable, weather: KeyedTable, air: KeyedTabl
             .trigger(availableNow=True).start())
 
 
+def forecast_stream(features: DataFrame, weather: DataFrame | KeyedTable, models: dict[int, object], inputs: list[str],
+                    forecasts: KeyedTable, checkpoint: str, horizons: int = 72, history: KeyedTable | None = None,
+                    name: str = "forecast") -> StreamingQuery:
+    """New feature rows -> the weather of their next hours -> one model a horizon -> the forecast table.
+
+    Each micro-batch forecasts from the newest row it brings for a series, unless that series already has a
+    forecast from a newer row: a late row must not bring an old forecast back. The static weather side is read
+    anew for each batch, narrowed to the target hours. A batch is published under its number in the same
+    step that makes its rows visible, so one that is repeated after a failure publishes once.
+    """
+    check_horizons(models, horizons)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if forecasts.exists() and forecasts.snapshot().batches.get(name, -1) >= batch_id:
+            return
+        path = _staged(spark, batch)
+        try:
+            rows = spark.read.schema(batch.schema).parquet(path)
+            if forecasts.exists():
+                made = F.max(F.col("forecast_generated_at")).alias("_made")
+                # a series' newest run covers its newest forecast hour: the rows from the oldest of these on tell
+                since = forecasts.marks().agg(F.min("stored_max")).first()[0]
+                rows = rows.join(forecasts.read([KEY, "forecast_generated_at"], since=since).groupBy(KEY).agg(made), [KEY], "left")
+                rows = rows.where(F.col("_made").isNull() | (F.col(TIME) >= F.col("_made"))).drop("_made")
+            low, high = rows.agg(F.min(TIME), F.max(TIME)).first()
+            if low is None:
+                return
+            future = weather.read(since=low) if isinstance(weather, KeyedTable) else weather
+            hours = F.col(TIME).between(F.lit(low), F.lit(high) + F.expr(f"INTERVAL {horizons} HOURS"))
+            forecast_rows(rows, future.where(hours), models, inputs, forecasts, horizons, history, (name, batch_id))
+        finally:
+            _fs_delete(spark, path)
+
+    return (features.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
 def upsert_stream(df: DataFrame, table: KeyedTable, checkpoint: str, order: str | None = None) -> StreamingQuery:
-    """Keep-last form of deduplication, and the forecast sink: each batch is upserted."""
+    """Keep-last form of deduplication: each batch is upserted."""
     def step(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
             table.upsert(batch, order)
