@@ -70,7 +70,7 @@ def _(spark, d):
     return rounded(out, ["future_wind_direction_sin", "future_wind_direction_cos"], 9)
 
 
-_LONG_H = [1, 6, 24, 72]
+_LONG_H = list(range(1, 73))
 
 
 @query("k2_horizon_long", with_frames("pair_type", " UNION ALL ".join(

@@ -1,5 +1,7 @@
 """Queries for baselines, models, scoring and explanation (M)."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tidemark.catalog.features import k1_sql
@@ -10,18 +12,19 @@ from tidemark.catalog.windows import ROWS, rounded
 from tidemark.functions.calendar import add_hours
 from tidemark.operators import splits
 from tidemark.operators.keyed import densify
+from tidemark.plans import boosting as boost
 from tidemark.plans import features as f
 from tidemark.plans import horizons as hz
 from tidemark.plans import incremental as inc
 from tidemark.plans import models as m
 from tidemark.plans import registry as reg
+from tidemark.plans import retraining as rt
 from tidemark.schemas import BASELINE_HORIZONS, KEY, MODEL_COLUMNS, SHORT_FEATURES, TIME, target_name
 from tidemark.session import scratch_path
 from tidemark.sources.tables import create_table
 from tidemark.streaming import jobs
 
 CUT = "2024-01-20 20:00:00"
-SMALL_TREES = dict(maxIter=5)  # a registered query shows the operator; the full run is a job
 
 
 def labelled(spark, d):
@@ -85,6 +88,11 @@ def _(spark, d):
     return show(m._named(m.regression_metrics(scored, "aqi_target_24h", "prediction", ("horizon",)), "Ridge Regression"))
 
 
+_PAIRS = ("SELECT a.time, CAST(epoch(b.time - a.time) / 3600 AS INTEGER) AS horizon, a.us_aqi, a.pm10, b.us_aqi AS y FROM k1 a JOIN k1 b "
+          "ON b.time > a.time AND b.time <= a.time + INTERVAL 72 HOUR")
+_G72 = "SELECT *, 'train' AS part FROM p QUALIFY count(*) OVER (PARTITION BY time) = 72"
+
+
 def feature_rows(spark, d):
     """The stored feature table with its labels, as the training jobs read it."""
     k1 = stored(f.feature_table(f.clean_sources(air(spark, d), weather(spark, d)), ROWS))
@@ -133,19 +141,84 @@ def _(spark, d):
     return m.feature_importance(_forest(spark, d)[1], SHORT_FEATURES, spark, 10)
 
 
+def horizon_rows(spark, d):
+    """The stored horizon arrays of the labelled feature rows: what every boosted fit reads."""
+    return stored(hz.horizon_store(feature_rows(spark, d), 72, ROWS))
+
+
 @query("m6_direct_boosted")
 def _(spark, d):
-    fits = m.fit_horizons(feature_rows(spark, d), [1, 24, 72], CUT, ROWS, **SMALL_TREES)
-    return m.all_metrics(fits)
+    """All 72 horizons side by side, ten rounds of the direct settings; m6_boosted_full has all rounds."""
+    store = horizon_rows(spark, d)
+    train = store.where(F.col(TIME) < F.lit(CUT).cast("timestamp_ntz"))
+    models = boost.fit_boosted(train, list(range(1, 73)), replace(boost.DIRECT, rounds=10), blocks=8)
+    return boost.boosted_metrics(store, models, CUT, series=ROWS)
+
+
+@query("m6_boosted_full")
+def _(spark, d):
+    """The full 800 rounds of one horizon."""
+    store = horizon_rows(spark, d)
+    train = store.where(F.col(TIME) < F.lit(CUT).cast("timestamp_ntz"))
+    models = boost.fit_boosted(train, [24], boost.DIRECT, blocks=1)
+    return boost.boosted_metrics(store, models, CUT, series=ROWS)
+
+
+_SIDES = ("SELECT *, avg(us_aqi_later) OVER (PARTITION BY horizon) AS base FROM (SELECT horizon, pm10 AS x, y AS us_aqi_later FROM p)")
+_CUMULATED = ("SELECT horizon, x, base, sum(g) OVER w AS gl, sum(n) OVER w AS nl, sum(g) OVER (PARTITION BY horizon) AS g, sum(n) OVER (PARTITION BY horizon) "
+              "AS n FROM (SELECT horizon, x, any_value(base) AS base, sum(base - us_aqi_later) AS g, count(*) AS n FROM sides GROUP BY horizon, x) "
+              "WINDOW w AS (PARTITION BY horizon ORDER BY x)")
+_T = "(sign({g}) * greatest(abs({g}) - 1, 0))"
+_SPLIT = ("SELECT horizon, x AS cut, base, " + _T.format(g="gl") + " / (nl + 20) AS wl, " + _T.format(g="(g - gl)") + " / (n - nl + 20) AS wr, "
+          + f"pow({_T.format(g='gl')}, 2) / (nl + 20) + pow({_T.format(g='(g - gl)')}, 2) / (n - nl + 20) - pow({_T.format(g='g')}, 2) / (n + 20) AS gain "
+          "FROM cumulated WHERE nl >= 20 AND n - nl >= 20 QUALIFY row_number() OVER (PARTITION BY horizon ORDER BY round(gain, 3) DESC, x) = 1")
+
+
+@query("m6_one_split", with_frames(
+    "pair", "SELECT s.horizon, count(*) AS row_count, round(avg(abs(us_aqi_later - p)), 4) AS mae, round(sqrt(avg((us_aqi_later - p) * (us_aqi_later - p))), 4) AS rmse "
+    "FROM (SELECT sides.horizon, us_aqi_later, sides.base - 0.5 * CASE WHEN split.horizon IS NULL THEN 0 WHEN x <= cut THEN wl ELSE wr END AS p FROM sides "
+    "LEFT JOIN split ON split.horizon = sides.horizon) s GROUP BY s.horizon",
+    k1=k1_sql("pair", True), p=_PAIRS, sides=_SIDES, cumulated=_CUMULATED, split=_SPLIT))
+def _(spark, d):
+    """One tree of one split for each of 72 horizons: penalties, leaf values and the least rows of a side, in SQL as well."""
+    k1 = stored(f.feature_table(f.clean_sources(air(spark, d), weather(spark, d))))
+    store = stored(hz.horizon_store(k1))
+    spec = replace(boost.DIRECT, rounds=1, rate=0.5, depth=1, rows=1.0, columns=1.0)
+    models = boost.fit_boosted(store, list(range(1, 73)), spec, ["pm10"])
+    return m.regression_metrics(boost.score_store(store, models), "target", "prediction", ("horizon",)).select(
+        "horizon", "row_count", F.round("mae", 4).alias("mae"), F.round("rmse", 4).alias("rmse"))
 
 
 @query("m7_hist_boosting")
 def _(spark, d):
-    df = splits.split_by_time(feature_rows(spark, d), CUT)
-    is_validation = F.col(TIME) >= F.lit("2024-01-18 00:00:00").cast("timestamp_ntz")
-    model = m.histogram_boosted(df.where("part = 'train'"), SHORT_FEATURES, "aqi_target_24h", is_validation, **SMALL_TREES)
-    scored = model.transform(m.assemble(df.where("part = 'test'"), SHORT_FEATURES))
-    return m.regression_metrics(scored, "aqi_target_24h", "prediction")
+    """Best-first trees of 20 leaves, up to 300 rounds, stopped where the held-out rows no longer improve."""
+    store = horizon_rows(spark, d)
+    train = store.where(F.col(TIME) < F.lit(CUT).cast("timestamp_ntz"))
+    models = boost.fit_boosted(train, [24], boost.HISTOGRAM, blocks=1)
+    return boost.boosted_metrics(store, models, CUT, "Histogram boosting", series=ROWS).withColumn(
+        "rounds", F.lit(len(models[24].trees)))
+
+
+_RETRAIN_L = "SELECT a.time, a.us_aqi, a.pm10, p.horizon, p.y FROM k1 a JOIN p ON p.time = a.time QUALIFY count(*) OVER (PARTITION BY a.time) = 72"
+_RETRAIN_G = "SELECT *, CASE WHEN epoch(time) < (SELECT quantile_cont(epoch(time), 0.8) FROM (SELECT DISTINCT time FROM l)) THEN 'train' ELSE 'test' END AS part FROM l"
+
+
+@query("m11_retrain", with_frames("pair", "SELECT s.*, CAST(2 AS BIGINT) AS version, CAST(2 AS BIGINT) AS promoted_from_version, t.training_rows FROM (" + _SCORES.format(
+    name="Ridge Regression", src="SELECT g.horizon, y, my + b1 * (us_aqi - m1) + b2 * (pm10 - m2) AS p FROM g JOIN fit ON fit.horizon = g.horizon WHERE part = 'test'")
+    + ") s JOIN (SELECT horizon, count(*) AS training_rows FROM g WHERE part = 'train' GROUP BY horizon) t USING (horizon)",
+    k1=k1_sql("pair", True), p=_PAIRS, l=_RETRAIN_L, g=_RETRAIN_G, mom=_MOM, fit=_FIT))
+def _(spark, d):
+    """A first version with another penalty, then the retraining job: 72 horizons fitted, scored, registered and compared."""
+    k1 = stored(f.feature_table(f.clean_sources(air(spark, d), weather(spark, d))))
+    targets = stored(f.wide_targets(k1))
+    root = scratch_path(spark, "models")
+    inputs = ["us_aqi", "pm10"]
+    for alpha, label in ((1000.0, "first"), (1.0, "second")):
+        version, promotion = rt.retrain(scratch_path(spark, label), k1, targets, rt.ridge_learner(inputs, alpha), root, chunk=36)
+    metrics = spark.read.parquet(f"{root}/version={version}/metrics")
+    return show(metrics.withColumnRenamed("forecast_horizon_hours", "horizon").withColumn("version", F.lit(version).cast("long")).join(
+        promotion.select(F.col("version").alias("promoted_from_version")))).select(
+        "model", "horizon", "test_rows", "mae", "rmse", "r2", "version", "promoted_from_version", "training_rows")
 
 
 def _linear_models(spark, d, horizons):
@@ -165,9 +238,6 @@ def _(spark, d):
     return m.score_horizons(models, inputs, MODEL_COLUMNS)
 
 
-_PAIRS = ("SELECT a.time, CAST(epoch(b.time - a.time) / 3600 AS INTEGER) AS horizon, a.us_aqi, a.pm10, b.us_aqi AS y FROM k1 a JOIN k1 b "
-          "ON b.time > a.time AND b.time <= a.time + INTERVAL 72 HOUR")
-_G72 = "SELECT *, 'train' AS part FROM p QUALIFY count(*) OVER (PARTITION BY time) = 72"
 _SHIFT = "l.time + to_hours(h) - INTERVAL 96 HOUR"
 
 

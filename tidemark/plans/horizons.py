@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import calendar_columns, target_calendar, wind_sin_cos
@@ -10,7 +10,7 @@ from tidemark.operators.errors import DataContractError
 from tidemark.operators.joins import attach_future_weather, expand_horizons
 from tidemark.operators.keyed import latest_row
 from tidemark.operators.project import drop_null_model, known_rows, select_contract
-from tidemark.operators.series import HOURLY, Series, over_series
+from tidemark.operators.series import CHUNK, HOME, HOURLY, POS, Series, over_series, spread
 from tidemark.plans.features import _future_level
 from tidemark.schemas import (
     FEATURE_COLUMNS, FUTURE_WEATHER, FUTURE_WIND, HORIZON_EXTRAS, KEY, MODEL_BASE_COLUMNS, MODEL_COLUMNS,
@@ -42,6 +42,50 @@ def horizon_dataset(df: DataFrame, horizon: int, series: Series = HOURLY,
     return drop_null_model(out, [*base, *needed], label)
 
 
+AHEAD = "ahead"
+
+
+def horizon_store(df: DataFrame, horizons: int = 72, series: Series = HOURLY, measure: str = "us_aqi",
+                  keep: list[str] | None = None) -> DataFrame:
+    """The rows with an array ``ahead`` of (horizon, target, weather, direction) of the next ``horizons`` steps.
+
+    One shuffle and one window make what every horizon needs; stored, it serves all fits and the long
+    form without another exchange. Steps that have no row are left out of the array. Labels stored beside
+    the features (``aqi_target_{h}h``) take the measure's place as target, as in ``horizon_dataset``.
+    """
+    labels = {h: target_name(h) for h in range(1, horizons + 1) if target_name(h) in df.columns}
+    base = keep if keep is not None else [c for c in df.columns if c not in (*series.keys, series.time, *labels.values())]
+    placed = spread(df, series, 0, horizons)
+    unit = 1 if series.mode == "rows" else series.step_seconds
+    frame = Window.partitionBy(*series.keys, CHUNK).orderBy(POS).rangeBetween(unit, horizons * unit)
+    fields = [F.col(s).cast("double").alias(n) for n, s in FUTURE_WEATHER.items()]
+    later = F.collect_list(F.struct(F.col(POS).alias("at"), F.col(measure).cast("double").alias("target"), *fields,
+                                    F.col(WIND_DIRECTION).cast("double").alias("direction"))).over(frame)
+    out = placed.withColumn("_later", later).where(HOME)
+    stored = F.array(*[F.col(labels[h]).cast("double") if h in labels else F.lit(None).cast("double")
+                       for h in range(1, horizons + 1)]) if labels else None
+
+    def entry(x):
+        h = ((x["at"] - F.col(POS)) / unit).cast("int")
+        target = x["target"] if stored is None else F.get(F.col("_labels"), h - 1)
+        return F.struct(h.alias("horizon"), target.alias("target"), *[x[n].alias(n) for n in FUTURE_WEATHER],
+                        x["direction"].alias("direction"))
+    if stored is not None:
+        out = out.withColumn("_labels", stored)
+    return out.select(*series.keys, series.time, *base, F.transform("_later", entry).alias(AHEAD))
+
+
+def long_of(store: DataFrame, keep: list[str], series: Series = HOURLY, horizons: list[int] | None = None) -> DataFrame:
+    """A stored ``horizon_store`` as rows (keys, time, horizon, kept columns, extras, target), in place."""
+    ahead = F.col(AHEAD) if horizons is None else F.filter(AHEAD, lambda x: x["horizon"].isin(horizons))
+    out = store.select(*series.keys, series.time, *keep, F.inline(ahead)).withColumns({
+        **wind_sin_cos("direction", "future_wind_direction"),
+        **target_calendar(series.time, F.col("horizon")),
+    })
+    out = out.select(*series.keys, series.time, "horizon", *keep, *HORIZON_EXTRAS, "target")
+    return known_rows(out, [*keep, *FUTURE_WEATHER, FUTURE_WIND[0], "target"])
+
+
 def horizon_long(df: DataFrame, horizons: list[int], series: Series = HOURLY,
                  measure: str = "us_aqi", keep: list[str] | None = None) -> DataFrame:
     """All horizons at once: (keys, time, kept columns, horizon, target, weather at +h, ...).
@@ -50,24 +94,10 @@ def horizon_long(df: DataFrame, horizons: list[int], series: Series = HOURLY,
     columns: every one of them is repeated for each horizon.
     """
     keep = keep if keep is not None else [measure]
-    sources = {**FUTURE_WEATHER, "_direction": WIND_DIRECTION, "target": measure}
-
-    def level(at):
-        def entry(h):
-            fields = [f"'horizon', {h}", *[f"'{n}', {at(s, -h)}" for n, s in sources.items()]]
-            return f"named_struct({', '.join(fields)})"
-        return {"_by_horizon": f"array({', '.join(entry(h) for h in horizons)})"}
-
     needed = list(dict.fromkeys([*series.keys, series.time, *keep, measure, *WEATHER]))
-    out = over_series(df.select(*needed), series, 0, max(horizons), [level],
-                      keep=[*series.keys, series.time, *keep, "_by_horizon"])
-    out = out.select(*series.keys, series.time, *keep, F.inline("_by_horizon"))
-    out = out.withColumns({
-        **wind_sin_cos("_direction", "future_wind_direction"),
-        **target_calendar(series.time, F.col("horizon")),
-    })
-    out = out.select(*series.keys, series.time, "horizon", *keep, *HORIZON_EXTRAS, "target")
-    return known_rows(out, [*keep, *FUTURE_WEATHER, FUTURE_WIND[0], "target"])
+    store = horizon_store(df.select(*needed), max(horizons), series, measure, keep)
+    whole = sorted(horizons) == list(range(1, max(horizons) + 1))
+    return long_of(store, keep, series, None if whole else horizons)
 
 
 def live_inputs(features: DataFrame, weather: DataFrame, horizons: int = 72,

@@ -21,6 +21,7 @@ from tidemark.operators.project import known_rows, top_k, unpivot_targets
 from tidemark.operators.series import HOURLY, Series
 from tidemark.operators.splits import PART, split_nested
 from tidemark.operators.sets import union_all
+from tidemark.plans.boosting import BoostedTrees, score_rows
 from tidemark.plans.features import FEATURE_SETS, with_cycles
 from tidemark.plans.horizons import horizon_dataset
 from tidemark.schemas import BASELINE_HORIZONS, KEY, MODEL_COLUMNS, TIME, target_name
@@ -288,9 +289,12 @@ def score_horizons(models: dict[int, object], inputs: DataFrame, features: list[
         return m.transform(assemble(inputs.where(F.col("horizon_hours") == h), features)).drop(VECTOR)
 
     linear = {h: m for h, m in models.items() if isinstance(m, LinearModel)}
-    parts = [predicted(h, m) for h, m in sorted(models.items()) if h not in linear]
+    boosted_ = {h: m for h, m in models.items() if isinstance(m, BoostedTrees)}
+    parts = [predicted(h, m) for h, m in sorted(models.items()) if h not in linear and h not in boosted_]
     if linear:
         parts.append(_linear_scores(linear, inputs))
+    if boosted_:
+        parts.append(score_rows(inputs, boosted_))
     scored = union_all(*parts)
     value = clamp_min("prediction")
     return scored.select(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.errors import DataContractError
 from tidemark.operators.guards import same_order
 from tidemark.operators.project import equals_filter
+from tidemark.plans.boosting import BoostedTrees
 from tidemark.plans.models import LinearModel, check_horizons
 from tidemark.sources.tables import _fs_claim, _fs_exists, _fs_list, _fs_read, _fs_write, next_version, versions
 
@@ -37,8 +38,8 @@ def register_models(spark: SparkSession, root: str, models: dict[int, object], f
         version += 1
     path = f"{root}/version={version}"
     for h in wanted:
-        _save(spark, models[h], f"{path}/h={h:02d}")
-    metrics.coalesce(1).write.parquet(f"{path}/metrics")
+        save_model(spark, models[h], f"{path}/h={h:02d}")
+    metrics.repartition(1).write.parquet(f"{path}/metrics")
     scores = {f"{m}_{h}h": rows[h][m] for h in SCORED_HORIZONS if h in rows for m in ("mae", "rmse", "r2")}
     record = {**metadata, **scores, "number_of_models": len(wanted), "version": version}
     _fs_write(spark, f"{path}/features.json", json.dumps(list(features)))
@@ -47,15 +48,19 @@ def register_models(spark: SparkSession, root: str, models: dict[int, object], f
     return version
 
 
-def _save(spark, model, path: str) -> None:
+def save_model(spark, model, path: str) -> None:
     if isinstance(model, LinearModel):
         _fs_write(spark, f"{path}/linear.json", json.dumps(asdict(model)))
+    elif isinstance(model, BoostedTrees):
+        _fs_write(spark, f"{path}/boosted.json", json.dumps(model.as_dict()))
     else:
         _fs_write(spark, f"{path}/kind.json", json.dumps(type(model).__name__))
         model.write().save(f"{path}/model")
 
 
-def _load(spark, path: str):
+def load_model(spark, path: str):
+    if _fs_exists(spark, f"{path}/boosted.json"):
+        return BoostedTrees.from_dict(json.loads(_fs_read(spark, f"{path}/boosted.json")))
     if _fs_exists(spark, f"{path}/linear.json"):
         d = json.loads(_fs_read(spark, f"{path}/linear.json"))
         return LinearModel(tuple(d["features"]), tuple(d["coefficients"]), d["intercept"], tuple(d["means"]))
@@ -93,7 +98,7 @@ def load_latest_models(spark: SparkSession, root: str,
     names = [n for n in _fs_list(spark, path) if n.startswith("h=")]
     record = json.loads(_fs_read(spark, f"{path}/metadata.json"))
     check_horizons({int(n[2:]): n for n in names}, record["number_of_models"])
-    return version, {int(n[2:]): _load(spark, f"{path}/{n}") for n in sorted(names)}, saved
+    return version, {int(n[2:]): load_model(spark, f"{path}/{n}") for n in sorted(names)}, saved
 
 
 def promote(metadata: DataFrame, metric: str = "rmse_24h") -> DataFrame:
