@@ -68,8 +68,11 @@ def _(spark, d):
     return a.duplicate_count(redelivered(spark, d), [KEY, TIME])
 
 
-@query("e4_describe", f"SELECT count(price) AS count, avg(price) AS mean, round(stddev_samp(price), 3) AS std, min(price) AS min, "
+_DESCRIBE = (f"SELECT count(price) AS count, avg(price) AS mean, round(stddev_samp(price), 3) AS std, min(price) AS min, "
        f"quantile_cont(price, 0.25) AS p25, quantile_cont(price, 0.5) AS p50, quantile_cont(price, 0.75) AS p75, max(price) AS max FROM {_LI}")
+
+
+@query("e4_describe", _DESCRIBE)
 def _(spark, d):
     return rounded(a.describe(cents(spark, d), "price"), ["std"], 3)
 
@@ -97,15 +100,19 @@ def _(spark, d):
 _C = reports.CORRELATED
 
 
-@query("e9_corr_matrix", with_frames("pair", " UNION ALL ".join(
+_MATRIX = with_frames("pair", " UNION ALL ".join(
     f"SELECT '{x}' AS \"left\", '{y}' AS \"right\", round(CASE WHEN isnan(corr({x}, {y})) THEN NULL ELSE corr({x}, {y}) END, 6) AS correlation FROM pair"
-    for i, x in enumerate(_C) for y in _C[i + 1:])))
+    for i, x in enumerate(_C) for y in _C[i + 1:]))
+_WITH = with_frames("pair", " UNION ALL ".join(
+    f"SELECT '{y}' AS variable, round(corr(us_aqi, {y}), 6) AS correlation FROM pair" for y in _C))
+
+
+@query("e9_corr_matrix", _MATRIX)
 def _(spark, d):
     return rounded(a.corr_matrix(join_sources(air(spark, d), weather(spark, d)), _C), ["correlation"], 6)
 
 
-@query("e10_corr_with", with_frames("pair", " UNION ALL ".join(
-    f"SELECT '{y}' AS variable, round(corr(us_aqi, {y}), 6) AS correlation FROM pair" for y in _C)))
+@query("e10_corr_with", _WITH)
 def _(spark, d):
     return rounded(a.corr_with(join_sources(air(spark, d), weather(spark, d)), "us_aqi", _C), ["correlation"], 6)
 
@@ -122,9 +129,12 @@ def _(spark, d):
     return keyed.extreme_row(hourly_by_type(spark, d), "us_aqi", False, (KEY,))
 
 
-@query("e12_histogram", f"SELECT CAST(b + 1 AS INTEGER) AS bin, mn + (mx - mn) / 40 * b AS bin_low, mn + (mx - mn) / 40 * (b + 1) AS bin_high, "
+_HISTOGRAM = (f"SELECT CAST(b + 1 AS INTEGER) AS bin, mn + (mx - mn) / 40 * b AS bin_low, mn + (mx - mn) / 40 * (b + 1) AS bin_high, "
        f"count(price) AS count FROM (SELECT unnest(range(40)) AS b), (SELECT min(price) AS mn, max(price) AS mx FROM {_LI}) "
        f"LEFT JOIN {_LI} x ON least(floor((x.price - mn) / ((mx - mn) / 40)), 39) = b GROUP BY b, mn, mx")
+
+
+@query("e12_histogram", _HISTOGRAM)
 def _(spark, d):
     return a.histogram(cents(spark, d), "price", 40)
 
@@ -266,6 +276,16 @@ def _(spark, d):
     return union_all(*[r[p].select(F.lit(p).alias("part"), TIME, "price") for p in ("highest", "lowest")])
 
 
+@query("l2_summary", _DESCRIBE)
+def _(spark, d):
+    return rounded(reports.distribution_report(cents(spark, d), "price")["summary"], ["std"], 3)
+
+
+@query("l2_histogram", _HISTOGRAM)
+def _(spark, d):
+    return reports.distribution_report(cents(spark, d), "price")["histogram"]
+
+
 @query("l3_cycle_report", " UNION ALL ".join([
     f"SELECT 'hour' AS cycle, CAST(hour(time) AS INTEGER) AS code, avg(price) AS mean_price, CAST(hour(any_value(time)) AS VARCHAR) AS label FROM {_LI} GROUP BY 2",
     f"SELECT 'day_of_week', CAST(isodow(time) - 1 AS INTEGER) AS code, avg(price), dayname(any_value(time)) FROM {_LI} GROUP BY 2",
@@ -274,12 +294,16 @@ def _(spark, d):
     return reports.cycle_report(cents(spark, d), "price")
 
 
-@query("l4_association_report", with_frames("pair", " UNION ALL ".join(
-    f"SELECT '{y}' AS variable, round(corr(us_aqi, {y}), 6) AS correlation FROM pair" for y in ("pm10", "pm2_5", "dust", "precipitation"))))
+@query("l4_association_report", _WITH)
 def _(spark, d):
     df = join_sources(air(spark, d), weather(spark, d))
-    r = reports.association_report(df, "us_aqi", ["pm10", "pm2_5", "dust", "precipitation"])
-    return rounded(r["with_target"], ["correlation"], 6)
+    return rounded(reports.association_report(df, "us_aqi", reports.CORRELATED)["with_target"], ["correlation"], 6)
+
+
+@query("l4_association_matrix", _MATRIX)
+def _(spark, d):
+    df = join_sources(air(spark, d), weather(spark, d))
+    return rounded(reports.association_report(df, "us_aqi", reports.CORRELATED)["matrix"], ["correlation"], 6)
 
 
 @query("l5_forecast_headline", with_frames(
@@ -312,6 +336,38 @@ def _(spark, d):
     return rounded(rounded(out, ["mean_mae", "mean_rmse"], 4), ["mean_r2"], 6)
 
 
+@query("l6_model_rows", with_frames("f2", f"SELECT series_id AS model, horizon, {_R6} FROM ({_BY_MODEL})", s=_SCORED))
+def _(spark, d):
+    return metric_round(reports.model_comparison(model_metrics(spark, d), models=_TYPES)["rows"])
+
+
+@query("l6_by_model", with_frames(
+    "f2", "SELECT horizon, " + ", ".join(f"round(max(mae) FILTER (WHERE series_id = '{t}'), 4) AS {t}" for t in _TYPES)
+    + f" FROM ({_BY_MODEL}) GROUP BY horizon", s=_SCORED))
+def _(spark, d):
+    return rounded(reports.model_comparison(model_metrics(spark, d), models=_TYPES)["by_model"], _TYPES)
+
+
+_DRIFT_COLUMNS = {"quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount"}
+_DRIFT_X = " UNION ALL ".join(f"SELECT year(l_shipdate) AS period, '{n}' AS feature, round({c} * 100) AS v FROM lineitem" for n, c in _DRIFT_COLUMNS.items())
+_DRIFT_E = ("SELECT feature, list_sort(list_distinct([" + ", ".join(f"quantile_cont(v, {k / 10})" for k in range(1, 10)) + "])) AS e FROM x WHERE period < 1997 GROUP BY feature")
+_DRIFT_N = "SELECT period, x.feature, len(list_filter(e, lambda t: t < v)) AS bin, count(*) AS n, count(*) FILTER (WHERE period < 1997) AS r FROM x JOIN e ON e.feature = x.feature GROUP BY 1, 2, 3"
+_DRIFT_G = ("SELECT g.period, g.feature, b.bin, coalesce(c.n, 0) AS n, coalesce(q.r, 0) AS r FROM (SELECT DISTINCT period, feature FROM c) g CROSS JOIN (SELECT unnest(range(10)) AS bin) b "
+            "LEFT JOIN c ON c.period = g.period AND c.feature = g.feature AND c.bin = b.bin LEFT JOIN (SELECT feature, bin, sum(r) AS r FROM c GROUP BY 1, 2) q ON q.feature = g.feature AND q.bin = b.bin")
+_DRIFT_S = ("SELECT *, n / sum(n) OVER w AS p, r / sum(r) OVER w AS q, sum(n) OVER u / sum(n) OVER w AS cp, sum(r) OVER u / sum(r) OVER w AS cq FROM g "
+            "WINDOW w AS (PARTITION BY period, feature), u AS (PARTITION BY period, feature ORDER BY bin)")
+
+
+@query("p_drift", "WITH x AS (" + _DRIFT_X + "), e AS (" + _DRIFT_E + "), c AS (" + _DRIFT_N + "), g AS (" + _DRIFT_G + "), s AS (" + _DRIFT_S + ") "
+       "SELECT CAST(period AS INTEGER) AS period, feature, CAST(sum(n) AS BIGINT) AS rows, round(sum(CASE WHEN n > 0 OR r > 0 THEN (greatest(p, 1e-4) - greatest(q, 1e-4)) "
+       "* ln(greatest(p, 1e-4) / greatest(q, 1e-4)) ELSE 0 END), 8) + 0.0 AS psi, round(max(abs(cp - cq)), 8) AS ks FROM s GROUP BY period, feature")
+def _(spark, d):
+    """Three measures of every year against the years before 1997."""
+    df = table(spark, d, "lineitem").select("l_shipdate", *[F.round(F.col(c) * 100).alias(n) for n, c in _DRIFT_COLUMNS.items()])
+    out = reports.drift_report(df, list(_DRIFT_COLUMNS), F.year("l_shipdate"), F.year("l_shipdate") < 1997)
+    return rounded(out, ["psi", "ks"], 8)
+
+
 @query("p_year_month_means", "SELECT CAST(year(time) AS INTEGER) AS year, " + ", ".join(
     f"avg(price) FILTER (WHERE month(time) = {i + 1}) AS {m.lower()}" for i, m in enumerate(MONTHS)) + f" FROM {_LI} GROUP BY 1")
 def _(spark, d):

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from tidemark.catalog.frames import air, hourly_by_type, redelivered, weather, with_frames
 from tidemark.catalog.features import k1_sql, shaped
 from tidemark.catalog.registry import query
+from tidemark.catalog.sqltext import complete, lead_sql
 from tidemark.plans import incremental as inc
-from tidemark.schemas import KEY, POLLUTANTS, TIME, WEATHER
+from tidemark.schemas import KEY, POLLUTANTS, TIME, WEATHER, target_name
 from tidemark.session import scratch_path
 from tidemark.sources.tables import create_table
 from tidemark.streaming import jobs
@@ -57,6 +58,25 @@ def _(spark, d):
     return finished(spark, jobs.label_stream(landed(spark, rows, "landed")))
 
 
+@query("i8_label_tables", with_frames("f2", "SELECT * FROM (SELECT series_id, time, " + ", ".join(
+    f"{lead_sql('us_aqi', h, True)} AS {target_name(h)}" for h in range(1, 73)) + " FROM fixed) WHERE " + complete([target_name(h) for h in range(1, 73)]),
+    fixed="SELECT series_id, time, CASE WHEN hour(time) % 6 = 0 THEN us_aqi + 1 ELSE us_aqi END AS us_aqi FROM f2"))
+def _(spark, d):
+    """Values land in several batches out of order, a sixth of them is corrected afterwards: the wide rows are those of the batch form."""
+    rows = hourly_by_type(spark, d).select(KEY, TIME, "us_aqi")
+    again = rows.where(F.hour(TIME) % 6 == 0).withColumn("us_aqi", F.col("us_aqi") + 1)
+    root, keys, path, checkpoint = scratch_path(spark, "tables"), (KEY, TIME), scratch_path(spark, "landed"), scratch_path(spark, "checkpoint")
+    values, wide = [create_table(spark, root, n, 1, keys, TIME) for n in ("values", "wide")]
+    long_ = create_table(spark, root, "labels", 1, (KEY, TIME, "horizon"), TIME)
+    early = F.dayofmonth(TIME) < 20
+    schema = rows.withColumn("ingest_seq", F.lit(1)).schema
+    for k, part in enumerate((rows.where(~early), rows.where(early), again)):
+        part.withColumn("ingest_seq", F.lit(k)).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schema).parquet(path)
+        jobs.label_tables(stream, long_, wide, values, checkpoint, "ingest_seq").awaitTermination()
+    return wide.read()
+
+
 @query("i4_ingest_stream", with_frames("pair", k1_sql("pair", True)))
 def _(spark, d):
     """Landed rows -> air table -> feature table, inside foreachBatch."""

@@ -55,24 +55,25 @@ def horizon_store(df: DataFrame, horizons: int = 72, series: Series = HOURLY, me
     """
     labels = {h: target_name(h) for h in range(1, horizons + 1) if target_name(h) in df.columns}
     base = keep if keep is not None else [c for c in df.columns if c not in (*series.keys, series.time, *labels.values())]
+    fields = {"target": measure, **FUTURE_WEATHER, "direction": WIND_DIRECTION}
+    out = with_later(df, horizons, series, fields)
+    if labels:
+        stored = F.array(*[F.col(labels[h]).cast("double") if h in labels else F.lit(None).cast("double")
+                           for h in range(1, horizons + 1)])
+        out = out.withColumn("_labels", stored).withColumn(AHEAD, F.transform(
+            AHEAD, lambda x: x.withField("target", F.get(F.col("_labels"), x["horizon"] - 1))))
+    return out.select(*series.keys, series.time, *base, AHEAD)
+
+
+def with_later(df: DataFrame, horizons: int, series: Series, fields: dict[str, str]) -> DataFrame:
+    """The rows with an array ``ahead`` of (horizon, fields) of the next steps that have a row; one exchange."""
     placed = spread(df, series, 0, horizons)
     unit = 1 if series.mode == "rows" else series.step_seconds
     frame = Window.partitionBy(*series.keys, CHUNK).orderBy(POS).rangeBetween(unit, horizons * unit)
-    fields = [F.col(s).cast("double").alias(n) for n, s in FUTURE_WEATHER.items()]
-    later = F.collect_list(F.struct(F.col(POS).alias("at"), F.col(measure).cast("double").alias("target"), *fields,
-                                    F.col(WIND_DIRECTION).cast("double").alias("direction"))).over(frame)
-    out = placed.withColumn("_later", later).where(HOME)
-    stored = F.array(*[F.col(labels[h]).cast("double") if h in labels else F.lit(None).cast("double")
-                       for h in range(1, horizons + 1)]) if labels else None
-
-    def entry(x):
-        h = ((x["at"] - F.col(POS)) / unit).cast("int")
-        target = x["target"] if stored is None else F.get(F.col("_labels"), h - 1)
-        return F.struct(h.alias("horizon"), target.alias("target"), *[x[n].alias(n) for n in FUTURE_WEATHER],
-                        x["direction"].alias("direction"))
-    if stored is not None:
-        out = out.withColumn("_labels", stored)
-    return out.select(*series.keys, series.time, *base, F.transform("_later", entry).alias(AHEAD))
+    entry = F.struct(F.col(POS).alias("at"), *[F.col(s).cast("double").alias(n) for n, s in fields.items()])
+    out = placed.withColumn("_later", F.collect_list(entry).over(frame)).where(HOME)
+    return out.withColumn(AHEAD, F.transform("_later", lambda x: F.struct(
+        ((x["at"] - F.col(POS)) / unit).cast("int").alias("horizon"), *[x[n].alias(n) for n in fields]))).select(*df.columns, AHEAD)
 
 
 def long_of(store: DataFrame, keep: list[str], series: Series = HOURLY, horizons: list[int] | None = None) -> DataFrame:

@@ -94,7 +94,7 @@ def plan_days(plan: DataFrame, table: KeyedTable, low: str = "fetch_from", high:
     return sorted(r[0] for r in days.collect())
 
 
-def _within(df: DataFrame, plan: DataFrame, low: str, high: str, series: Series) -> DataFrame:
+def within_spans(df: DataFrame, plan: DataFrame, low: str, high: str, series: Series = HOURLY) -> DataFrame:
     """Rows inside one of their series' spans; the spans of a series must not overlap.
 
     An equi join on (series, day) with the days the spans cover, so no row meets all spans of its series.
@@ -121,13 +121,13 @@ def recompute_tail(air: DataFrame, weather: DataFrame, plan: DataFrame, gap_poli
             df = df.where(F.col(TIME) >= F.lit(fetch_from).cast("timestamp_ntz"))
         if latest is not None:
             df = df.where(F.col(TIME) <= F.lit(latest).cast("timestamp_ntz"))
-        return _within(df, span, "fetch_from", "latest", series)
+        return within_spans(df, span, "fetch_from", "latest", series)
 
     merged = clean_sources(fetched(air), fetched(weather), order)
     if gap_policy == "error":
         assert_regular(merged, series, "error")
     rows = feature_table(merged, series.using(POLICY_MODE[gap_policy]))
-    return _within(rows, span, "recompute_from", "latest", series)
+    return within_spans(rows, span, "recompute_from", "latest", series)
 
 
 def bounds_of(plan: DataFrame):

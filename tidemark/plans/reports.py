@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import day_of_week, hour_of, month_of
@@ -15,6 +15,7 @@ from tidemark.operators.aggregates import (
 )
 from tidemark.operators.keyed import extreme_row, time_gaps
 from tidemark.operators.project import horizon_in
+from tidemark.operators.quantiles import exact_quantiles
 from tidemark.operators.series import HOURLY, Series
 from tidemark.operators.sets import union_all
 from tidemark.schemas import KEY, POLLUTANTS, TIME, WEATHER, WIND_DIRECTION
@@ -142,3 +143,39 @@ def source_checks(df: DataFrame) -> dict[str, DataFrame]:
 
 def hour_means(df: DataFrame, measure: str) -> DataFrame:
     return mean_by(df, hour_of(TIME), "hour", measure)
+
+
+def drift_report(df: DataFrame, columns: list[str], period: Column, reference: Column, bins: int = 10,
+                 floor: float = 1e-4) -> DataFrame:
+    """How far each period's distribution of each column lies from the reference rows' one.
+
+    (period, feature, rows, psi, ks): bins have the reference's exact quantiles as edges, so each holds an equal
+    share of it; psi is the population stability index with shares of at least ``floor``, ks the greatest
+    distance of the cumulative shares at the edges. Errors of a forecast are a column like any other. NULL
+    and NaN are left out; without reference rows ks is NULL and psi compares with ``floor``. One scan counts all columns, periods and bins; what follows has a row a bin.
+    """
+    shares = [k / bins for k in range(1, bins)]
+    edges = {c: sorted({e for e in exact_quantiles(df.where(reference), c, shares) if e is not None}) for c in columns}
+
+    def bin_of(c: str) -> Column:
+        above = [F.when(F.col(c).cast("double") > F.lit(e), 1).otherwise(0) for e in edges[c]]
+        return sum(above, F.lit(0))
+
+    known = [F.when(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")),
+                    F.struct(F.lit(c).alias("feature"), bin_of(c).alias("bin"))) for c in columns]
+    cells = df.select(period.alias("period"), reference.alias("_reference"), F.explode(F.array_compact(F.array(*known))).alias("_x"))
+    counted = cells.groupBy("period", "_x.feature", "_x.bin").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("_reference").alias("r"))
+    grid = counted.select("period", "feature").distinct().select(
+        "period", "feature", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    basis = counted.groupBy("feature", "bin").agg(F.sum("r").alias("r"))
+    full = grid.join(counted.drop("r"), ["period", "feature", "bin"], "left").join(basis, ["feature", "bin"], "left").na.fill(0, ["n", "r"])
+    group = Window.partitionBy("period", "feature")
+    upto = group.orderBy("bin")
+    share = lambda c, over: F.try_divide(F.sum(c).over(over), F.sum(c).over(group))
+    own = lambda c: F.try_divide(F.col(c), F.sum(c).over(group))
+    shares_ = full.withColumns({"p": own("n"), "q": own("r"), "cp": share("n", upto), "cq": share("r", upto)})
+    p, q = F.greatest("p", F.lit(floor)), F.greatest("q", F.lit(floor))  # greatest leaves NULL out
+    return shares_.groupBy("period", "feature").agg(
+        F.sum("n").alias("rows"), F.sum(F.when((F.col("n") > 0) | (F.col("r") > 0), (p - q) * F.log(p / q)).otherwise(0.0)).alias("psi"),
+        F.max(F.abs(F.col("cp") - F.col("cq"))).alias("ks"))

@@ -13,13 +13,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.calendar import epoch_seconds
 from tidemark.plans.incremental import (
-    REACH_HOURS, _staged, bounds_of, forecast_rows, plan_days, recompute_tail, stored_marks, touched_intervals,
+    _staged, bounds_of, forecast_rows, plan_days, recompute_tail, stored_marks, touched_intervals, within_spans,
 )
+from tidemark.plans.horizons import AHEAD, with_later
 from tidemark.plans.models import check_horizons
 from tidemark.operators.guards import validate_batch
+from tidemark.operators.series import HOURLY
 from tidemark.operators.project import cast_schema
 from tidemark.plans.features import ALL_FEATURE_COLUMNS
-from tidemark.schemas import KEY, TIME, feature_types
+from tidemark.schemas import KEY, MAX_HORIZON, TIME, feature_types, target_name
 from tidemark.sources.tables import KeyedTable, _fs_delete
 
 LATE = "48 hours"
@@ -84,6 +86,45 @@ def label_stream(features: DataFrame, horizons: int = 72, delay: str = LATE,
     return base.join(later, on, "inner").select(KEY, TIME, hours.alias("horizon"), "target")
 
 
+def label_tables(values: DataFrame, labels: KeyedTable, wide: KeyedTable, stored: KeyedTable, checkpoint: str,
+                 order: str | None = None, horizons: int = MAX_HORIZON, measure: str = "us_aqi") -> StreamingQuery:
+    """Landed values -> long labels (series, time, horizon, target) and the wide row once all horizons are there.
+
+    A value that lands or is corrected changes the labels of the ``horizons`` hours before it and completes its
+    own. Each batch is stored (last delivery wins), the spans it touches are read back, and every label in
+    them is made again: a corrected hour revises its 72 labels and the wide rows of those hours that are complete.
+    Repeating a batch changes nothing, and values may come in any order and at any age.
+    """
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        paths = [_staged(spark, batch)]
+        try:
+            landed = spark.read.schema(batch.schema).parquet(paths[0])
+            if landed.isEmpty():
+                return
+            stored.upsert(landed, order, stored=True)
+            plan = touched_intervals(landed.select(KEY, TIME), stored_marks(stored), horizons, horizons)
+            paths.append(_staged(spark, plan))
+            plan = spark.read.schema(plan.schema).parquet(paths[-1])
+            rows = within_spans(stored.read([KEY, TIME, measure], days=plan_days(plan, stored)), plan, "fetch_from", "latest")
+            known = rows.where(F.col(measure).isNotNull())
+            ahead = with_later(known, horizons, HOURLY, {"target": measure}).select(KEY, TIME, AHEAD).where(F.size(AHEAD) > 0)
+            paths.append(_staged(spark, ahead))
+            ahead = spark.read.schema(ahead.schema).parquet(paths[-1])
+            if ahead.isEmpty():
+                return
+            labels.upsert(ahead.select(KEY, TIME, F.inline(AHEAD)), unique=True)
+            whole = ahead.where(F.size(AHEAD) == horizons).select(KEY, TIME, *[
+                F.get(AHEAD, F.lit(h - 1))["target"].alias(target_name(h)) for h in range(1, horizons + 1)])
+            wide.upsert(whole, unique=True)
+        finally:
+            for path in paths:
+                _fs_delete(spark, path)
+
+    return (values.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
 def ingest_features(air_raw: DataFrame, weather: KeyedTable, air: KeyedTable, features: KeyedTable,
                     checkpoint: str, order: str | None = None) -> StreamingQuery:
     """Landed air rows -> air table -> feature rows, one micro-batch at a time."""
