@@ -19,7 +19,9 @@ from tidemark.plans import incremental as inc
 from tidemark.plans import models as m
 from tidemark.plans import registry as reg
 from tidemark.plans import retraining as rt
-from tidemark.schemas import BASELINE_HORIZONS, KEY, MODEL_COLUMNS, SHORT_FEATURES, TIME, target_name
+from tidemark.schemas import (
+    BASELINE_HORIZONS, KEY, MODEL_COLUMNS, REPORT_HORIZONS, SHORT_FEATURES, TIME, target_name,
+)
 from tidemark.session import scratch_path
 from tidemark.sources.tables import create_table
 from tidemark.streaming import jobs
@@ -62,8 +64,13 @@ def _(spark, d):
 # ridge on two standardized inputs has a closed form that SQL can state
 _MOM = ("SELECT horizon, count(*) AS n, avg(us_aqi) AS m1, avg(pm10) AS m2, avg(y) AS my, stddev_pop(us_aqi) AS s1, stddev_pop(pm10) AS s2, "
         "stddev_pop(y) AS sy, corr(us_aqi, pm10) AS r12, corr(us_aqi, y) AS r1, corr(pm10, y) AS r2 FROM g WHERE part = 'train' GROUP BY horizon")
-_FIT = ("SELECT *, n * sy * (r1 * (n + 1) - n * r12 * r2) / ((n + 1) * (n + 1) - n * n * r12 * r12) / s1 AS b1, "
-        "n * sy * (r2 * (n + 1) - n * r12 * r1) / ((n + 1) * (n + 1) - n * n * r12 * r12) / s2 AS b2 FROM mom")
+def fit_sql(alpha: float = 1) -> str:
+    a = f"(n + {alpha})"
+    return (f"SELECT *, n * sy * (r1 * {a} - n * r12 * r2) / ({a} * {a} - n * n * r12 * r12) / s1 AS b1, "
+            f"n * sy * (r2 * {a} - n * r12 * r1) / ({a} * {a} - n * n * r12 * r12) / s2 AS b2 FROM mom")
+
+
+_FIT = fit_sql()
 
 
 @query("m3_ridge", with_frames("f2", _SCORES.format(
@@ -221,23 +228,6 @@ def _(spark, d):
         "model", "horizon", "test_rows", "mae", "rmse", "r2", "version", "promoted_from_version", "training_rows")
 
 
-def _linear_models(spark, d, horizons):
-    rows = feature_rows(spark, d)
-    out = {}
-    for h in horizons:
-        data = hz.horizon_dataset(rows, h, ROWS)
-        out[h] = m.ridge_from_moments(m.moments(data, [*MODEL_COLUMNS, target_name(h)]), MODEL_COLUMNS, target_name(h), 100.0)
-    return rows, out
-
-
-@query("m9_score_horizons")
-def _(spark, d):
-    rows, models = _linear_models(spark, d, [1, 24, 72])
-    future = weather(spark, d).withColumn(TIME, add_hours(TIME, 96))
-    inputs = hz.live_inputs(rows.select(KEY, TIME, *m_columns()), future, check=False)
-    return m.score_horizons(models, inputs, MODEL_COLUMNS)
-
-
 _SHIFT = "l.time + to_hours(h) - INTERVAL 96 HOUR"
 
 
@@ -280,6 +270,14 @@ def _(spark, d):
     return _published(forecasts)
 
 
+@query("m9_score_horizons", with_frames("pair", forecast_sql("SELECT * FROM k1 ORDER BY time DESC LIMIT 1"), **_FORECAST_PARTS))
+def _(spark, d):
+    """All 72 models score the live inputs in one pass."""
+    k1, models, future, _, _ = _forecast_setup(spark, d)
+    inputs = hz.live_inputs(k1, future)
+    return m.score_horizons(models, inputs, MODEL_COLUMNS).withColumn("predicted_aqi", F.round("predicted_aqi", 3)).select(*_SHOWN)
+
+
 _CUTS = ("2024-01-25 00:00:00", "2024-01-26 12:00:00", "2024-12-31 00:00:00")
 
 
@@ -300,15 +298,41 @@ def _(spark, d):
     return _published(forecasts)
 
 
-def m_columns():
-    from tidemark.schemas import MODEL_BASE_COLUMNS
-    return MODEL_BASE_COLUMNS
+_LR = "SELECT series_id, time, us_aqi, pm10, " + ", ".join(f"{lead_sql('us_aqi', h)} AS y{h}" for h in REPORT_HORIZONS) + " FROM f2"
+_LONG_R = " UNION ALL ".join(
+    f"SELECT series_id, time, us_aqi, pm10, {h} AS horizon, y{h} AS y, CASE WHEN time < TIMESTAMP '{CUT}' THEN 'train' ELSE 'test' END AS part "
+    "FROM l WHERE y72 IS NOT NULL" for h in REPORT_HORIZONS)
+_PARTS = " UNION ALL ".join(
+    f"SELECT g.series_id, g.time, g.horizon, part, '{c}' AS feature, b{k} * ({c} - m{k}) AS contribution, my + b1 * (us_aqi - m1) + b2 * (pm10 - m2) AS prediction "
+    "FROM g JOIN fit ON fit.horizon = g.horizon" for k, c in ((1, "us_aqi"), (2, "pm10")))
+
+
+def _explained(spark, d):
+    """Rows labelled for the six report horizons, and their ridge models on two inputs."""
+    f2 = hourly_by_type(spark, d)
+    labels = f.wide_targets(f2, 72, ROWS).select(KEY, TIME, *[target_name(h) for h in REPORT_HORIZONS])
+    df = stored(splits.split_by_time(f2.join(labels, [KEY, TIME]), CUT))
+    return df, m.ridge_by_horizon(df, ["us_aqi", "pm10"], REPORT_HORIZONS)
 
 
-@query("m10_contributions")
+@query("m10_contributions", with_frames(
+    "f2", "SELECT horizon, feature, round(avg(abs(contribution)), 5) AS mean_abs_contribution FROM parts WHERE part = 'test' GROUP BY horizon, feature",
+    l=_LR, g=_LONG_R, mom=_MOM, fit=_FIT, parts=_PARTS))
 def _(spark, d):
-    rows, models = _linear_models(spark, d, [24])
-    return m.contribution_ranking(hz.horizon_dataset(rows, 24, ROWS), models[24], 20)
+    """Mean absolute contribution of each input for the six report horizons, one scan."""
+    df, models = _explained(spark, d)
+    return rounded(m.contribution_table(df.where("part = 'test'"), models), ["mean_abs_contribution"], 5)
+
+
+@query("m10_local_row", with_frames(
+    "f2", "SELECT series_id, time, horizon, feature, round(contribution, 5) + 0.0 AS contribution, round(prediction, 5) AS prediction FROM (SELECT *, "
+    "row_number() OVER (PARTITION BY series_id, horizon, feature ORDER BY time) - 1 AS rn, count(*) OVER (PARTITION BY series_id, horizon, feature) AS n "
+    "FROM parts WHERE part = 'test') WHERE rn = floor(n / 2)", l=_LR, g=_LONG_R, mom=_MOM, fit=_FIT, parts=_PARTS))
+def _(spark, d):
+    """The middle test row of each series, explained for the six report horizons."""
+    df, models = _explained(spark, d)
+    out = m.local_contributions(df.where("part = 'test'"), models)
+    return rounded(rounded(out, ["contribution"], 5), ["prediction"], 5)
 
 
 @query("m10_permutation_importance")
@@ -317,32 +341,41 @@ def _(spark, d):
     return m.permutation_importance(df.where("part = 'test'"), model, SHORT_FEATURES, "aqi_target_1h")
 
 
-@query("m11_m12_registry")
+_REGISTERED = dict(k1=k1_sql("pair", True), p=_PAIRS, l="SELECT DISTINCT time, us_aqi, pm10 FROM p QUALIFY count(*) OVER (PARTITION BY time) = 72",
+                   g=f"SELECT p.*, CASE WHEN time < TIMESTAMP '{CUT}' THEN 'train' ELSE 'test' END AS part FROM p WHERE time IN (SELECT time FROM l)", mom=_MOM, fit=_FIT)
+
+
+@query("m11_m12_registry", with_frames(
+    "pair", "SELECT 'all' AS series_id, l.time, " + ", ".join(
+        f"round(max(my + b1 * (us_aqi - m1) + b2 * (pm10 - m2)) FILTER (WHERE fit.horizon = {h}), 4) AS forecast_{h}h" for h in REPORT_HORIZONS)
+    + ", 2 AS version FROM l CROSS JOIN fit GROUP BY l.time", **_REGISTERED))
 def _(spark, d):
-    """Three bundles of linear models are registered; the newest one is read back."""
-    root = scratch_path(spark, "models")
-    df = splits.split_by_time(feature_rows(spark, d), CUT)
-    inputs = ["us_aqi", "pm2_5", "pm10", "aqi_lag_24h"]
-    for alpha in (1.0, 100.0):
-        models = m.ridge_by_horizon(df, inputs, [1, 2, 3], alpha)
-        metrics = m.linear_metrics(
-            df.select(KEY, TIME, "part", *inputs, *[target_name(h) for h in (1, 2, 3)]), models, "Ridge Regression"
-        ).withColumnRenamed("horizon", "forecast_horizon_hours")
-        reg.register_models(spark, root, models, inputs, metrics, {"model_type": "ridge"}, horizons=3)
+    """Two bundles of 72 linear models are registered; the newest one is read back and scores."""
+    root, inputs, hs = scratch_path(spark, "models"), ["us_aqi", "pm10"], list(range(1, 73))
+    k1 = f.feature_table(f.clean_sources(air(spark, d), weather(spark, d)))
+    df = stored(splits.split_by_time(k1.join(f.wide_targets(k1), [KEY, TIME]), CUT))
+    for alpha in (100.0, 1.0):
+        models = m.ridge_by_horizon(df, inputs, hs, alpha)
+        metrics = m.linear_metrics(df, models, "Ridge Regression").withColumnRenamed("horizon", "forecast_horizon_hours")
+        reg.register_models(spark, root, models, inputs, metrics, {"model_type": "ridge"})
     version, models, saved = reg.load_latest_models(spark, root, inputs)
-    scored = df.select(KEY, TIME, *[models[h].prediction().alias(f"forecast_{h}h") for h in models])
+    scored = df.select(KEY, TIME, *[F.round(models[h].prediction(), 4).alias(f"forecast_{h}h") for h in REPORT_HORIZONS])
     return scored.withColumn("version", F.lit(version))
 
 
-@query("f5_latest_version")
+@query("f5_latest_version", with_frames("f2", "SELECT 10.0::DOUBLE AS alpha, 2::BIGINT AS version, 1::BIGINT AS number_of_models, mae AS mae_1h, rmse AS rmse_1h, r2 AS r2_1h FROM (" + _SCORES.format(
+    name="Ridge Regression", src="SELECT g.horizon, y, my + b1 * (us_aqi - m1) + b2 * (pm10 - m2) AS p FROM g JOIN fit ON fit.horizon = g.horizon WHERE part = 'test' AND g.horizon = 1")
+    + ")", l=_L, g=_LONG, mom=_MOM, fit=fit_sql(10)))
 def _(spark, d):
     root = scratch_path(spark, "models")
-    df = splits.split_by_time(feature_rows(spark, d), CUT)
+    df = stored(labelled(spark, d))
     for alpha in (1.0, 10.0):
         models = m.ridge_by_horizon(df, ["us_aqi", "pm10"], [1], alpha)
         metrics = m.linear_metrics(df, models, "Ridge Regression").withColumnRenamed("horizon", "forecast_horizon_hours")
         reg.register_models(spark, root, models, ["us_aqi", "pm10"], metrics, {"alpha": alpha}, horizons=1)
-    return reg.latest_version(reg.metadata_table(spark, root))
+    newest = reg.latest_version(reg.metadata_table(spark, root))
+    return newest.select("alpha", "version", "number_of_models", F.round("mae_1h", 4).alias("mae_1h"),
+                         F.round("rmse_1h", 4).alias("rmse_1h"), F.round("r2_1h", 6).alias("r2_1h"))
 
 
 @query("f3_top_k_importance")
@@ -350,10 +383,10 @@ def _(spark, d):
     return m.feature_importance(_forest(spark, d, 72)[1], SHORT_FEATURES, spark, 10)
 
 
-@query("f4_top_k_contribution")
+@query("f4_top_k_contribution", with_frames(
+    "f2", " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg(abs(b{k} * ({c} - m{k}))), 5) AS mean_abs_contribution FROM g JOIN fit ON fit.horizon = g.horizon "
+                             "WHERE g.horizon = 24" for k, c in ((1, "us_aqi"), (2, "pm10"))), l=_L, g=_LONG, mom=_MOM, fit=_FIT))
 def _(spark, d):
-    df = labelled(spark, d)
-    model = m.ridge_by_horizon(df, ["us_aqi", "pm2_5", "pm10"], [24])[24]
-    return rounded(m.contribution_ranking(df, model, 20), ["mean_abs_contribution"], 6)
-
-
+    df = stored(labelled(spark, d))
+    model = m.ridge_by_horizon(df, ["us_aqi", "pm10"], [24])[24]
+    return rounded(m.contribution_ranking(df, model, 20), ["mean_abs_contribution"], 5)

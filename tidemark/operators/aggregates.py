@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.operators.quantiles import exact_quantiles
-from tidemark.schemas import KEY, TIME
+from tidemark.schemas import TIME
 
 
 def profile_range(df: DataFrame, time: str = TIME, by: tuple[str, ...] = ()) -> DataFrame:
@@ -51,7 +53,24 @@ def mean_by(df: DataFrame, group: Column, name: str, measure: str,
 
 
 def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """(left, right, correlation), each over the rows where both are known; one pass."""
+    """(left, right, correlation), each over the rows where both are known; NULL for a constant measure.
+
+    Rows without a gap go through Spark's own correlation of vectors: one buffer for all pairs instead
+    of one each. A first pass tells; with gaps, each pair has rows of its own and its own buffer.
+    """
+    columns = list(dict.fromkeys(c for p in pairs for c in p))
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    gap = F.lit(False)
+    for c in columns:
+        gap = gap | F.col(c).isNull() | F.isnan(c)
+    seen = values.agg(F.count(F.lit(1)).alias("n"), F.count_if(gap).alias("gaps")).first()
+    if seen["n"] and not seen["gaps"]:
+        vectors = VectorAssembler(inputCols=columns, outputCol="_v").transform(values).select("_v")
+        matrix = Correlation.corr(vectors, "_v").first()[0].toArray()  # as many numbers as pairs of columns
+        at = {c: i for i, c in enumerate(columns)}
+        rows = [(x, y, float(matrix[at[x], at[y]])) for x, y in pairs]
+        found = df.sparkSession.createDataFrame(rows, "left string, right string, correlation double")
+        return found.withColumn("correlation", F.when(~F.isnan("correlation"), F.col("correlation")))
     stats = df.agg(*[F.corr(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
     rows = F.array(*[
         F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"_{i}").alias("correlation"))
@@ -164,11 +183,8 @@ def observe_rows(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
 
 
 def row_delta(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(step, rows, columns) on both sides of a step."""
     def counted(df: DataFrame, step: str) -> DataFrame:
         return df.agg(F.count(F.lit(1)).alias("rows")).select(
             F.lit(step).alias("step"), "rows", F.lit(len(df.columns)).alias("columns"))
     return counted(before, "before").unionByName(counted(after, "after"))
-
-
-def per_series(df: DataFrame) -> tuple[str, ...]:
-    return (KEY,) if KEY in df.columns else ()

@@ -66,8 +66,9 @@ def attach_future_weather(rows: DataFrame, weather: DataFrame,
     future = weather.withColumnRenamed(TIME, "forecast_time")
     on = [*keys, "forecast_time"]
     if check:
-        counted = rows.select(*on).distinct().join(
-            future.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")), on, "left")
+        wanted = rows.select(*on).distinct()
+        own = future.select(*on).join(wanted, on, "left_semi")  # the hours asked for, not all weather there is
+        counted = wanted.join(own.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")), on, "left")
         bad = counted.where(F.coalesce("_n", F.lit(0)) != 1).orderBy(*on).limit(10).collect()
         if bad:
             hours = ", ".join(f"{r['forecast_time']} ({r['_n'] or 0} rows)" for r in bad)

@@ -23,20 +23,30 @@ def dedup_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def extreme_row(df: DataFrame, value: str, largest: bool, by: tuple[str, ...] = (),
                 tie: str = TIME) -> DataFrame:
     """The whole row holding the largest or smallest value; the earliest one on ties."""
-    rest = F.struct(*[c for c in df.columns if c not in by])
-    early = epoch_seconds(tie)
     known = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    if largest:
-        picked = F.max_by(rest, F.struct(F.col(value), -early))
-    else:
-        picked = F.min_by(rest, F.struct(F.col(value), early))
-    out = known.groupBy(*by).agg(picked.alias("_row"))
-    return out.where("_row IS NOT NULL").select(*by, "_row.*").select(*df.columns)
+    near = _with_extreme(known, by, value, largest)
+    return _one_by(_with_extreme(near, by, tie, False), by, F.min_by, tie)
 
 
-def latest_row(df: DataFrame, by: tuple[str, ...] = (KEY,), time: str = TIME) -> DataFrame:
+def _with_extreme(df: DataFrame, by: tuple[str, ...], column: str, largest: bool) -> DataFrame:
+    """The rows that hold the extreme of a column: a hash aggregate over keys and that column, then an equi join,
+    so the whole rows are neither sorted nor shuffled where the extremes are few enough to broadcast."""
+    best = df.groupBy(*[F.col(k).alias(f"_by_{k}") for k in by]).agg((F.max if largest else F.min)(column).alias("_best"))
+    on = F.col(column) == F.col("_best")
+    for k in by:
+        on = on & F.col(k).eqNullSafe(F.col(f"_by_{k}"))
+    return df.join(best, on).select(*df.columns)
+
+
+def _one_by(df: DataFrame, by: tuple[str, ...], pick, order: str) -> DataFrame:
+    """One row a group, out of the few that are left."""
     rest = F.struct(*[c for c in df.columns if c not in by])
-    return df.groupBy(*by).agg(F.max_by(rest, time).alias("_row")).select(*by, "_row.*").select(*df.columns)
+    return (df.groupBy(*by).agg(pick(rest, order).alias("_row")).where("_row IS NOT NULL")
+            .select(*by, "_row.*").select(*df.columns))
+
+
+def latest_row(df: DataFrame, by: tuple[str, ...] = (KEY,), time: str = TIME) -> DataFrame:
+    return _one_by(_with_extreme(df, by, time, True), by, F.max_by, time)
 
 
 def first_row(df: DataFrame, by: tuple[str, ...] = (), time: str = TIME) -> DataFrame:

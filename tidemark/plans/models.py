@@ -17,6 +17,7 @@ from tidemark.functions.scoring import category, clamp_min
 from tidemark.operators.aggregates import regression_metrics, split_counts
 from tidemark.operators.errors import DataContractError
 from tidemark.operators.guards import same_order
+from tidemark.operators.keyed import middle_row
 from tidemark.operators.project import known_rows, top_k, unpivot_targets
 from tidemark.operators.series import HOURLY, Series
 from tidemark.operators.splits import PART, split_nested
@@ -332,6 +333,23 @@ def contribution_ranking(df: DataFrame, model: LinearModel, k: int = 20) -> Data
     return top_k(long, "mean_abs_contribution", k, "feature")
 
 
+def contribution_table(df: DataFrame, models: dict[int, LinearModel]) -> DataFrame:
+    """(horizon, feature, mean_abs_contribution) of all models from one scan."""
+    cells = df.select(F.inline(F.array(*[
+        F.struct(F.lit(h).alias("horizon"), F.lit(n).alias("feature"), c.cast("double").alias("contribution"))
+        for h, m in sorted(models.items()) for n, c in m.contributions().items()])))
+    return cells.groupBy("horizon", "feature").agg(F.avg(F.abs("contribution")).alias("mean_abs_contribution"))
+
+
+def local_contributions(df: DataFrame, models: dict[int, LinearModel], series: Series = HOURLY) -> DataFrame:
+    """(keys, time, horizon, feature, contribution, prediction) of the middle row of each series."""
+    row = middle_row(df, series)
+    return row.select(*series.keys, series.time, F.inline(F.array(*[
+        F.struct(F.lit(h).alias("horizon"), F.lit(n).alias("feature"), c.cast("double").alias("contribution"),
+                 m.prediction().alias("prediction"))
+        for h, m in sorted(models.items()) for n, c in m.contributions().items()])))
+
+
 def permutation_importance(df: DataFrame, model, features: list[str], label: str,
                            keys: list[str] | None = None, seed: int = 42,
                            buckets: int = 1024) -> DataFrame:
