@@ -11,7 +11,9 @@ from tidemark.catalog.sqltext import (
 )
 from tidemark.catalog.windows import BY_TIME, ROWS, rounded
 from tidemark.functions.calendar import latest_completed
-from tidemark.operators.guards import irregular_series
+from tidemark.operators.guards import irregular_series, non_empty
+from tidemark.operators.keyed import densify
+from tidemark.operators.errors import DataContractError
 from tidemark.operators.project import cast_schema, unpivot_targets
 from tidemark.plans import features as f
 from tidemark.plans import horizons as hz
@@ -134,6 +136,23 @@ def _(spark, d):
         *FUTURE_WEATHER, "future_wind_direction_sin", *TARGET_CALENDAR)
 
 
+@query("k4_live_inputs_full", with_frames(
+    "pair", f"SELECT l.{_COLS.replace(', ', ', l.')}, l.time + to_hours(h) AS forecast_time, CAST(h AS INTEGER) AS horizon_hours, "
+    + ", ".join(f"coalesce(w.{s}, 0) AS {n}" for n, s in FUTURE_WEATHER.items())
+    + ", round(sin(radians(coalesce(w.wind_direction_10m, 0))), 9) + 0.0 AS future_wind_direction_sin"
+    ", round(cos(radians(coalesce(w.wind_direction_10m, 0))), 9) + 0.0 AS future_wind_direction_cos, "
+    + ", ".join(calendar_sql("(l.time + to_hours(h))", TARGET_CALENDAR, "INTEGER"))
+    + " FROM (SELECT * FROM k1 ORDER BY time DESC LIMIT 1) l CROSS JOIN (SELECT unnest(range(1, 73)) AS h) LEFT JOIN weather w "
+    "ON w.time + INTERVAL 96 HOUR = l.time + to_hours(h)", k1=k1_sql("pair", True)))
+def _(spark, d):
+    """All 89 columns of the 72 live input rows, with the checks of weather, nulls and order on."""
+    from tidemark.functions.calendar import add_hours
+    w = weather(spark, d)
+    k1 = shaped(f.feature_table(f.clean_sources(air(spark, d), w)))
+    future = densify(w).na.fill(0.0).withColumn(TIME, add_hours(TIME, 96))
+    return rounded(hz.live_inputs(k1, future), ["future_wind_direction_sin", "future_wind_direction_cos"], 9)
+
+
 def _cyc(x, p, name):
     return [f"round(sin(2 * pi() * ({x}) / {p}), 9) + 0.0 AS {name}_sin_72h", f"round(cos(2 * pi() * ({x}) / {p}), 9) + 0.0 AS {name}_cos_72h"]
 
@@ -174,6 +193,25 @@ def _(spark, d):
     return rounded(f.with_cycles(df).select(KEY, TIME, "us_aqi", *CYCLE_COLUMNS), CYCLE_COLUMNS, 9)
 
 
+def _cycle_sql():
+    parts = (("hour", "hour", 24), ("day_of_week", "day_of_week", 7), ("month", "(month - 1)", 12))
+    return [f"round({fn}(2 * pi() * {x} / {p}), 9) + 0.0 AS {n}_{fn}" for n, x, p in parts for fn in ("sin", "cos")] + [
+        f"round({fn}(radians(wind_direction_10m)), 9) + 0.0 AS wind_direction_{fn}" for fn in ("sin", "cos")]
+
+
+def _set_query(name):
+    columns = [c for c in f.FEATURE_SETS[name] if c not in CYCLE_COLUMNS]
+
+    @query(f"k6_{name}", with_frames("pair", f"SELECT series_id, time, {', '.join(columns + _cycle_sql())} FROM k1", k1=k1_sql("pair")))
+    def _(spark, d):
+        k1 = shaped(f.feature_table(f.clean_sources(air(spark, d), weather(spark, d)), ROWS))
+        return rounded(f.feature_set(k1, name), CYCLE_COLUMNS, 9)
+
+
+for _name in ("cyclical_replacement", "original_plus_cyclical"):
+    _set_query(_name)
+
+
 @query("k7_reduced_features", _K5_SOURCE.format(cols=", ".join([KEY, TIME, *REDUCED_FEATURES_72H])))
 def _(spark, d):
     return _k5(spark, d).select(KEY, TIME, *REDUCED_FEATURES_72H)
@@ -280,6 +318,17 @@ def _(spark, d):
     return irregular_series(hourly_by_type(spark, d))
 
 
+@query("i10_non_empty", with_frames("f2", "SELECT * FROM f2"))
+def _(spark, d):
+    """The guard passes a table that has rows on unchanged, and refuses one that has none."""
+    rows = hourly_by_type(spark, d)
+    try:
+        non_empty(rows.where("time < TIMESTAMP_NTZ '1900-01-01'"), "no rows")
+    except DataContractError:
+        return non_empty(rows, "no rows")
+    raise AssertionError("an empty table passed")
+
+
 _BY_TIME72 = "SELECT * FROM (SELECT series_id, time, " + ", ".join(
     f"{lead_sql('us_aqi', h, True)} AS {target_name(h)}" for h in range(1, 73)) + " FROM {fr}) WHERE " + complete(
     [target_name(h) for h in range(1, 73)])

@@ -15,7 +15,7 @@ from tidemark.session import scratch_path
 from tidemark.sources.files import (
     plan_chunks, read_csv, read_hourly_json, write_csv, write_forecast, write_hourly_json,
 )
-from tidemark.sources.tables import create_table, read_training_set, write_training_set
+from tidemark.sources.tables import create_table, read_training_set, table_meta, write_training_set
 
 NTZ = "timestamp_ntz"
 
@@ -47,6 +47,21 @@ def _orders_table(spark, d):
     return t
 
 
+@query("a6_create_table", "SELECT 'orders' AS name, CAST(1 AS BIGINT) AS version, 'o_orderkey' AS key, 'o_orderdate' AS event_time, count(*) AS rows, "
+       "CAST(2 AS BIGINT) AS snapshots, (SELECT count(*) FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01') AS rows_of_first FROM orders")
+def _(spark, d):
+    """Created once and got again; its record, its rows now, and its rows as of the first of two snapshots."""
+    rows, root = table(spark, d, "orders"), scratch_path(spark, "tables")
+    early = F.col("o_orderdate") < F.lit("1998-01-01 00:00:00").cast(NTZ)
+    t = create_table(spark, root, "orders", 1, ("o_orderkey",), "o_orderdate", "month")
+    t.upsert(rows.where(early))
+    t = create_table(spark, root, "orders", 1, ("o_orderkey",), "o_orderdate", "month")
+    t.upsert(rows.where(~early))
+    return table_meta(t).select(
+        "name", "version", F.col("keys")[0].alias("key"), "event_time", F.lit(t.read().count()).cast("long").alias("rows"),
+        F.lit(t.snapshot().number).cast("long").alias("snapshots"), F.lit(t.read(as_of=1).count()).cast("long").alias("rows_of_first"))
+
+
 @query("a4_read_table", "SELECT * FROM orders")
 def _(spark, d):
     return _orders_table(spark, d).read()
@@ -111,6 +126,11 @@ def _(spark, d):
     return _training(spark, d)[1]
 
 
+@query("a9_read_training_features", with_frames("f1", "SELECT series_id, time, us_aqi, pm2_5, pm10 FROM t", t=_TRAIN_BODY))
+def _(spark, d):
+    return _training(spark, d)[0]
+
+
 @query("a10_plan_chunks",
        "SELECT o_orderpriority, CAST(strftime(s, '%Y-%m-%d') AS VARCHAR) AS chunk_start, "
        "CAST(strftime(least(s + INTERVAL 29 DAY, hi), '%Y-%m-%d') AS VARCHAR) AS chunk_end FROM ("
