@@ -269,6 +269,23 @@ def _(spark, d):
     return reports.quality_report(hourly_by_type(spark, d))
 
 
+_DIRTY = "SELECT series_id, time, us_aqi, pm2_5, pm10 FROM f6 UNION ALL SELECT series_id, time, us_aqi + 1, pm2_5, NULL FROM f6 WHERE hour(time) % 6 = 0"
+
+
+@query("l1_quality_report_dirty", with_frames(
+    "f6", "SELECT dirty.series_id, count(*) AS row_count, min(time) AS min_time, max(time) AS max_time, "
+    "count(*) FILTER (WHERE us_aqi IS NULL OR pm2_5 IS NULL OR pm10 IS NULL) AS rows_with_nulls, count(*) - count(DISTINCT time) AS duplicate_rows, "
+    "coalesce(any_value(g.gaps), 0) AS gaps, coalesce(any_value(g.longest), 0.0) AS longest_gap_steps FROM dirty LEFT JOIN (SELECT series_id, count(*) AS gaps, "
+    "max(epoch(time - prev) / 3600) AS longest FROM (SELECT series_id, time, lag(time) OVER (PARTITION BY series_id ORDER BY time) AS prev FROM "
+    "(SELECT DISTINCT series_id, time FROM dirty)) WHERE epoch(time - prev) > 3600 GROUP BY series_id) g ON g.series_id = dirty.series_id GROUP BY dirty.series_id",
+    dirty=f"SELECT * FROM ({_DIRTY}) WHERE day(time) <> 7"))
+def _(spark, d):
+    """Missing values, repeated keys and a missing day."""
+    rows = with_nulls(spark, d)
+    again = rows.where(F.hour(TIME) % 6 == 0).withColumns({"us_aqi": F.col("us_aqi") + 1, "pm10": F.lit(None).cast("double")})
+    return reports.quality_report(rows.unionByName(again).where(F.dayofmonth(TIME) != 7))
+
+
 @query("l2_distribution_report", f"SELECT 'highest' AS part, time, price FROM (SELECT * FROM {_LI} ORDER BY price DESC, time LIMIT 1) "
        f"UNION ALL SELECT 'lowest', time, price FROM (SELECT * FROM {_LI} ORDER BY price, time LIMIT 1)")
 def _(spark, d):

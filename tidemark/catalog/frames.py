@@ -56,13 +56,10 @@ def air(spark, d, key=None) -> DataFrame:
 
 
 def weather(spark, d, only_errors: bool = False, key=None) -> DataFrame:
-    """``only_errors`` takes the readings of one event type, which misses some hours."""
+    """``only_errors`` keeps the hours with an event of one type, so that some are missing."""
     key = F.lit("all") if key is None else F.col(key)
-    rows = events(spark, d)
-    if only_errors:
-        rows = rows.where(F.col("event_type") == "error")
     k = F.col("k")
-    out = rows.groupBy(key.alias(KEY), TIME).agg(
+    out = events(spark, d).groupBy(key.alias(KEY), TIME).agg(
         F.min(k).cast("double").alias("temperature_2m"),
         F.max(k).cast("double").alias("relative_humidity_2m"),
         (F.max(k) - F.min(k)).cast("double").alias("dew_point_2m"),
@@ -71,8 +68,9 @@ def weather(spark, d, only_errors: bool = False, key=None) -> DataFrame:
         (F.sum(k) % 101).cast("double").alias("cloud_cover"),
         F.count_if(k >= 50).cast("double").alias("wind_speed_10m"),
         (F.sum(k) % 360).cast("double").alias("wind_direction_10m"),
-        F.count(k).cast("double").alias("wind_gusts_10m"))
-    return out.select(KEY, TIME, *WEATHER)
+        F.count(k).cast("double").alias("wind_gusts_10m"),
+        F.count_if(F.col("event_type") == "error").alias("_errors"))
+    return (out.where("_errors > 0") if only_errors else out).select(KEY, TIME, *WEATHER)
 
 
 def daily_orders(spark, d) -> DataFrame:
@@ -142,7 +140,7 @@ FRAMES_SQL = {
     "f2": f"SELECT event_type AS series_id, time, {_M} FROM ev GROUP BY event_type, time",
     "air": f"SELECT 'all' AS series_id, time, {_AIR} FROM ev GROUP BY time",
     "weather": f"SELECT 'all' AS series_id, time, {_WEATHER} FROM ev GROUP BY time",
-    "weather_err": f"SELECT 'all' AS series_id, time, {_WEATHER} FROM ev WHERE event_type = 'error' GROUP BY time",
+    "weather_err": f"SELECT 'all' AS series_id, time, {_WEATHER} FROM ev GROUP BY time HAVING count(*) FILTER (WHERE event_type = 'error') > 0",
     "air_type": f"SELECT event_type AS series_id, time, {_AIR} FROM ev GROUP BY event_type, time",
     "weather_type": f"SELECT event_type AS series_id, time, {_WEATHER} FROM ev GROUP BY event_type, time",
     "pair": "SELECT * FROM air JOIN weather USING (series_id, time)",

@@ -35,6 +35,18 @@ def _(spark, d):
     return out.select(KEY, TIME, "pm2_5", "pm10")
 
 
+@query("i13_dedup_stream_first", with_frames("f1", "SELECT series_id, time, us_aqi, pm2_5, pm10 FROM f1"))
+def _(spark, d):
+    """Second deliveries with other values land after the first: within the 48 hours kept they are repeats, before that too late."""
+    rows, path = redelivered(spark, d), scratch_path(spark, "landed")
+    out, checkpoint = scratch_path(spark, "out"), scratch_path(spark, "checkpoint")
+    for seq in (1, 2):
+        rows.where(F.col("ingest_seq") == seq).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(rows.schema).parquet(path)
+        jobs.run_to_parquet(jobs.dedup_stream(stream, [KEY, TIME]), out, checkpoint)
+    return spark.read.schema(rows.schema).parquet(out).select(KEY, TIME, "us_aqi", "pm2_5", "pm10")
+
+
 @query("i13_keep_last_stream", with_frames("f5", "SELECT series_id, time, us_aqi, pm2_5, pm10, ingest_seq FROM f5 QUALIFY row_number() OVER "
        "(PARTITION BY series_id, time ORDER BY ingest_seq DESC) = 1"))
 def _(spark, d):

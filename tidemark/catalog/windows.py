@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.catalog.frames import (
-    daily_orders, forecast, hourly_all, hourly_by_type, redelivered, table, weather, with_frames,
+    daily_orders, events, forecast, hourly_all, hourly_by_type, redelivered, table, weather, with_frames,
 )
 from tidemark.catalog.registry import query
 from tidemark.catalog.sqltext import (
@@ -14,7 +14,8 @@ from tidemark.operators.joins import lookup_at_offset
 from tidemark.operators.series import HOURLY, Series, over_series
 from tidemark.plans.features import wide_targets
 from tidemark.schemas import (
-    FUTURE_WEATHER, KEY, LAG_STEPS, LAGS, MEAN_WINDOWS, PREFIX, STD_COLUMNS, STD_WINDOWS, TIME,
+    CHANGE_COLUMNS, FUTURE_WEATHER, KEY, LAG_COLUMNS, LAG_STEPS, LAGS, MEAN_COLUMNS, MEAN_WINDOWS, PREFIX, STD_COLUMNS,
+    STD_WINDOWS, TIME,
 )
 
 ROWS = HOURLY.using("rows")
@@ -195,3 +196,19 @@ def _(spark, d):
     "row_number() OVER (PARTITION BY series_id ORDER BY time) - 1 AS rn, count(*) OVER (PARTITION BY series_id) AS n FROM f4)"))
 def _(spark, d):
     return splits.split_nested(daily_orders(spark, d), series=DAILY)
+
+
+@query("d_user_history", with_frames(
+    "ev", "SELECT series_id, time, us_aqi, pm2_5, pm10, " + ", ".join(history_columns()) + " FROM dense",
+    u="SELECT CAST(user_id AS VARCHAR) AS series_id, time, sum(cents) AS us_aqi, max(cents) AS pm2_5, CAST(count(*) AS DOUBLE) AS pm10 FROM ev GROUP BY 1, 2",
+    spine="SELECT series_id, unnest(generate_series(min(time), max(time), INTERVAL 1 HOUR)) AS time FROM u GROUP BY series_id",
+    dense="SELECT s.series_id, s.time, coalesce(us_aqi, 0) AS us_aqi, coalesce(pm2_5, 0) AS pm2_5, coalesce(pm10, 0) AS pm10 FROM spine s "
+          "LEFT JOIN u ON u.series_id = s.series_id AND u.time = s.time"))
+def _(spark, d):
+    """The whole history block, 49 columns, on one dense hourly series per user: the widest window job."""
+    hourly = events(spark, d).groupBy(F.col("user_id").cast("string").alias(KEY), TIME).agg(
+        F.sum("cents").alias("us_aqi"), F.max("cents").alias("pm2_5"), F.count("*").cast("double").alias("pm10"))
+    levels, back = rolling.history_levels()
+    out = over_series(keyed.densify(hourly).na.fill(0.0), HOURLY.using("dense"), back, 0, levels)
+    return rounded(out, STD_COLUMNS).select(
+        KEY, TIME, *PREFIX, *LAG_COLUMNS, *MEAN_COLUMNS, *CHANGE_COLUMNS, *STD_COLUMNS)

@@ -181,15 +181,17 @@ def _ingest(raw: DataFrame, own: KeyedTable, weather: KeyedTable, air: KeyedTabl
 
 def forecast_stream(features: DataFrame, weather: DataFrame | KeyedTable, models: dict[int, object], inputs: list[str],
                     forecasts: KeyedTable, checkpoint: str, horizons: int = 72, history: KeyedTable | None = None,
-                    name: str = "forecast") -> StreamingQuery:
+                    name: str | None = None) -> StreamingQuery:
     """New feature rows -> the weather of their next hours -> one model a horizon -> the forecast table.
 
     Each micro-batch forecasts from the newest row it brings for a series, unless that series already has a
     forecast from a newer row: a late row must not bring an old forecast back. The static weather side is read
     anew for each batch, narrowed to the target hours. A batch is published under its number in the same
-    step that makes its rows visible, so one that is repeated after a failure publishes once.
+    step that makes its rows visible, so one that is repeated after a failure publishes once. Numbers belong to
+    a checkpoint: ``name`` (by default the checkpoint's path) has to change with it.
     """
     check_horizons(models, horizons)
+    name = name or f"forecast {checkpoint}"
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
