@@ -197,10 +197,10 @@ def horizon_rows(spark, d):
 
 @query("m6_direct_boosted")
 def _(spark, d):
-    """All 72 horizons side by side, ten rounds of the direct settings; m6_boosted_full has all rounds."""
+    """All 72 horizons side by side, five rounds of the direct settings; m6_boosted_full has all rounds."""
     store = horizon_rows(spark, d)
     train = store.where(F.col(TIME) < F.lit(CUT).cast("timestamp_ntz"))
-    models = boost.fit_boosted(train, list(range(1, 73)), replace(boost.DIRECT, rounds=10), blocks=8)
+    models = boost.fit_boosted(train, list(range(1, 73)), replace(boost.DIRECT, rounds=5), blocks=8)
     return boost.boosted_metrics(store, models, CUT, series=ROWS)
 
 
