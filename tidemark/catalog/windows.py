@@ -10,6 +10,7 @@ from tidemark.catalog.sqltext import (
     change_columns, history_columns, lag_columns, lead_sql, mean_columns, std_columns,
 )
 from tidemark.operators import keyed, rolling, splits
+from tidemark.operators.dense import dense_history
 from tidemark.operators.joins import lookup_at_offset
 from tidemark.operators.series import HOURLY, Series, over_series
 from tidemark.plans.features import wide_targets
@@ -208,7 +209,5 @@ def _(spark, d):
     """The whole history block, 49 columns, on one dense hourly series per user: the widest window job."""
     hourly = events(spark, d).groupBy(F.col("user_id").cast("string").alias(KEY), TIME).agg(
         F.sum("cents").alias("us_aqi"), F.max("cents").alias("pm2_5"), F.count("*").cast("double").alias("pm10"))
-    levels, back = rolling.history_levels()
-    out = over_series(keyed.densify(hourly).na.fill(0.0), HOURLY.using("dense"), back, 0, levels)
-    return rounded(out, STD_COLUMNS).select(
+    return rounded(dense_history(hourly), STD_COLUMNS).select(
         KEY, TIME, *PREFIX, *LAG_COLUMNS, *MEAN_COLUMNS, *CHANGE_COLUMNS, *STD_COLUMNS)
